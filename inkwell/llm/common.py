@@ -76,13 +76,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """A bounded memo: ``make(key)`` on a miss; emptied at ``limit`` entries, which costs time and never changes a result."""
+    """A bounded memo: ``make(key)`` on a miss; at ``limit`` entries nothing more is kept, which costs time and never changes a result."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 300_000):
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(self) < self.limit:
+            self[key] = value
         return value

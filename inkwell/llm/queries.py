@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op10_byte_bpe
 from .chat_format import OP8_SQL, op8_chat_formatting
 from .langid import op6_language_id
+from .packing import op7_best_fit_packing
 
 
 def queries() -> dict:
-    return {"op6_language_id": op6_language_id, "op8_chat_formatting": op8_chat_formatting}
+    return {"op6_language_id": op6_language_id, "op7_best_fit_packing": op7_best_fit_packing, "op8_chat_formatting": op8_chat_formatting, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
