@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 #: ASCII letters lowered, every other byte kept.
@@ -86,3 +87,26 @@ class Memo(dict):
         if len(self) < self.limit:
             self[key] = value
         return value
+
+
+#: Bits of a membership bitmap: 4 MB however many keys it holds. A fuller one only lets more rows through.
+BITMAP_BITS = 25
+
+
+def _place(keys: list[str]):
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << BITMAP_BITS)) + 1
+
+
+def maybe_in(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """df with ``maybe``: false only where no row of ``wanted`` has these keys. Broadcasts a bitmap of a fixed size."""
+    bits = wanted.select(_place(keys).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+    hashed = df.withColumn("_h", _place(keys)).withColumn("_bucket", F.bitmap_bucket_number("_h")).withColumn("_bit", F.bitmap_bit_position("_h"))
+    hit = F.expr("coalesce((cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(_bit % 8 as int)) & 1, 0) = 1")
+    return hashed.join(F.broadcast(bits), "_bucket", "left").withColumn("maybe", hit).drop("_h", "_bucket", "_bit", "_bits")
+
+
+def without(df: DataFrame, keys: list[str], dropped: DataFrame) -> DataFrame:
+    """Rows of df whose keys are not in ``dropped``; only rows that the bitmap can't clear are shuffled."""
+    tested = maybe_in(df, keys, dropped)
+    sure = tested.filter("NOT maybe").drop("maybe")
+    return sure.unionByName(tested.filter("maybe").drop("maybe").join(dropped.select(*keys), keys, "left_anti"))

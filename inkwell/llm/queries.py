@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from .bpe import op10_byte_bpe
 from .chat_format import OP8_SQL, op8_chat_formatting
+from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .langid import op6_language_id
 from .packing import op7_best_fit_packing
 
 
 def queries() -> dict:
-    return {"op6_language_id": op6_language_id, "op7_best_fit_packing": op7_best_fit_packing, "op8_chat_formatting": op8_chat_formatting, "op10_byte_bpe": op10_byte_bpe}
+    return {"op6_language_id": op6_language_id, "op7_best_fit_packing": op7_best_fit_packing, "op8_chat_formatting": op8_chat_formatting, "op9_exact_dedup": op9_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": OP8_SQL}
+    return {"op8_chat_formatting": OP8_SQL, "op9_exact_dedup": OP9_SQL}
