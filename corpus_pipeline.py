@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import langid
+from inkwell.llm import exact_dedup, jaccard_join, langid, packing
 from inkwell.llm.common import load, saved, work_dir
 
-STAGES = [("language_id", langid.stage)]
+STAGES = [("language_id", langid.stage), ("exact_dedup", exact_dedup.stage), ("ngram_jaccard", jaccard_join.stage), ("best_fit_packing", packing.stage)]
 
 #: Not expressible in SQL (a trained model, a tokenizer and bin packing); tests hold it against a brute-force version.
 ORACLE_SQL = None
