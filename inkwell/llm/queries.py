@@ -9,13 +9,14 @@ from .fingerprints import op4_document_fingerprints
 from .jaccard_join import op3_ngram_jaccard
 from .langid import op6_language_id
 from .licenses import op5_license_scans
+from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op7_best_fit_packing
 from .token_counts import op2_token_counts
 
 
 def queries() -> dict:
-    return {"op2_token_counts": op2_token_counts, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_document_fingerprints": op4_document_fingerprints, "op5_license_scans": op5_license_scans, "op6_language_id": op6_language_id, "op7_best_fit_packing": op7_best_fit_packing, "op8_chat_formatting": op8_chat_formatting, "op9_exact_dedup": op9_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_line_dedup": op1_line_dedup, "op2_token_counts": op2_token_counts, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_document_fingerprints": op4_document_fingerprints, "op5_license_scans": op5_license_scans, "op6_language_id": op6_language_id, "op7_best_fit_packing": op7_best_fit_packing, "op8_chat_formatting": op8_chat_formatting, "op9_exact_dedup": op9_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op8_chat_formatting": OP8_SQL, "op9_exact_dedup": OP9_SQL}
