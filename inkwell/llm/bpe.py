@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, load
+from .common import Memo, load, with_fields
 
 #: Characters of a text that are encoded directly, and bytes of one match.
 LEAF_CHARS, LEAF_BYTES = 4096, 256
@@ -54,7 +54,8 @@ class TreeBpe:
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.regex = regex.compile(pattern)
         self.short = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_ordinary
-        self.unit = Memo(self._unit)
+        self.unit, self.spaced = Memo(self._unit, 50_000), Memo(self._spaced, 450_000)
+        self.decimal = {v: b"%d" % v for v in self.bytes_of}
         self.pair = Memo(lambda p: self.merge(self.bytes_of[p[0]] + self.bytes_of[p[1]]) == [*p], 100_000)
 
     # -- one match ---------------------------------------------------------------------------------------------
@@ -111,14 +112,16 @@ class TreeBpe:
         ids = self.short(unit) if len(unit) <= UNIT_CHARS else [i for m in self.regex.findall(unit) for i in self.match_ids(m)]
         return np.array(ids, np.uint32).tobytes()
 
-    def _leaf(self, text: str) -> list[str]:
-        """Units of a short text: cut before each single space between two other characters, long parts by match."""
-        parts = text.split(" ")
-        if len(parts) > 1 and max(map(len, parts)) < UNIT_CHARS:
-            units = [parts[0], *map(" ".__add__, parts[1:])]
-            if parts[0] and not any(p == "" or p[0].isspace() or p[-1].isspace() for p in parts):
-                return units
-        return self.regex.findall(text)
+    def _spaced(self, unit: str) -> bytes | None:
+        """Ids of a unit that was cut at spaces alone; None if it isn't sure to be whole matches, or is long."""
+        inner = unit[1:] if unit[:1] == " " else unit
+        if not inner or inner[0].isspace() or inner[-1].isspace() or len(unit) > UNIT_CHARS:
+            return None
+        return self._unit(unit)
+
+    def _leaf(self, text: str, by_match: bool) -> list[str]:
+        """Units of a short text: cut before every space, or by match."""
+        return self.regex.findall(text) if by_match else text.replace(" ", "\0 ").split("\0")
 
     def _join(self, left: list[str], right: list[str], ids: dict[str, bytes]) -> list[str]:
         if not left or not right:
@@ -161,18 +164,22 @@ class TreeBpe:
                 parts = [np.frombuffer(ids.get(x) or np.array(self.match_ids(x), np.uint32).tobytes(), np.uint32).tolist() for x in (left[-1], right[0])]
                 ids[m] = np.array(self.join_ids(*parts), np.uint32).tobytes()
 
-    def units(self, text: str, ids: dict[str, bytes]) -> list[str]:
+    def units(self, text: str, ids: dict[str, bytes], by_match: bool) -> list[str]:
         if len(text) <= LEAF_CHARS:
-            return self._leaf(text)
+            return self._leaf(text, by_match)
         half = len(text) // 2
-        return self._join(self.units(text[:half], ids), self.units(text[half:], ids), ids)
+        return self._join(self.units(text[:half], ids, by_match), self.units(text[half:], ids, by_match), ids)
 
     def encode(self, text: str) -> np.ndarray:
+        """A text whose spaces all stand alone between other characters is cut at its spaces, any other by match."""
+        if text and "\0" not in text:
+            try:
+                return np.frombuffer(b"".join(map(self.spaced.__getitem__, self.units(text, {}, False))), np.uint32)
+            except TypeError:
+                pass
         ids: dict[str, bytes] = {}  # of long matches of this text
-        units = self.units(text, ids)
-        if ids:
-            return np.frombuffer(b"".join([ids[u] if u in ids else self.unit[u] for u in units]), np.uint32)
-        return np.frombuffer(b"".join(map(self.unit.__getitem__, units)), np.uint32)
+        units = self.units(text, ids, True)
+        return np.frombuffer(b"".join([ids[u] if u in ids else self.unit[u] for u in units]), np.uint32)
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF_CHARS:
@@ -204,7 +211,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             values = pa.array(np.concatenate([*got, np.zeros(0, np.uint32)]).view(np.int32) if got else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*rest, "ids"])
 
-    return docs.select(*rest, "text").mapInArrow(run, docs.select(*rest).schema.add("ids", "array<int>"))
+    return docs.select(*rest, "text").mapInArrow(run, with_fields(docs.select(*rest), "ids array<int>"))
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -214,23 +221,30 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array([bpe.decode(i.as_py() or []) for i in b["ids"]], pa.binary())], names=[*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(map(bpe.decode, _lists(b["ids"])), pa.binary())], names=[*names, "decoded"])
 
-    return encoded.select(*names).mapInArrow(run, encoded.select(*names).schema.add("decoded", "binary"))
+    return encoded.select(*names).mapInArrow(run, with_fields(encoded.select(*names), "decoded binary"))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n, a = [], []
-        for ids in b["ids"]:
-            ids = ids.as_py() if not isinstance(ids, pa.ListScalar) else ids.values.to_pylist()
-            n.append(len(ids))
-            a.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), b["decoded_sha256"]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def _lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """Each row's ids; null has none."""
+    values, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield values[a:b].tolist()
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = default_ranks()
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(*at)
+        for b in batches:
+            n, a, d = [], [], []
+            for ids in _lists(b["ids"]):
+                n.append(len(ids))
+                a.append(hashlib.sha256(b",".join(map(bpe.decimal.__getitem__, ids))).hexdigest())
+                d.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = decode(encode(docs, *at), *at).select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return both.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, *at).mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U = np.uint64
 #: ASCII letters lowered, every other byte kept.
@@ -43,6 +44,11 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def with_fields(df: DataFrame, more: str) -> T.StructType:
+    """The schema of df and ``more`` columns in DDL."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
 def text_bytes(col: pa.Array) -> list[bytes]:
     """UTF-8 of every row; null is empty."""
     return col.fill_null("").cast(pa.binary()).to_pylist()

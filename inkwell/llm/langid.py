@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, mix, slices
+from .common import load, mix, slices, with_fields
 
 U = np.uint64
 #: Hash buckets of n-grams; the matrix has this many rows at any size of input.
@@ -110,8 +110,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[
             cols = [b[c] for c in (columns if "text" in columns else names)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(prob)], names=[*(columns if "text" in columns else names), "lang_pred", "score"])
 
-    out = kept.select(*columns).schema.add("lang_pred", "string").add("score", "double")
-    return kept.mapInArrow(score, out)
+    return kept.mapInArrow(score, with_fields(kept.select(*columns), "lang_pred string, score double"))
 
 
 def held_out(id_col: str = "doc_id"):
