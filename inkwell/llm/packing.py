@@ -30,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, load, saved, work_dir
+from .common import Memo, load, saved, with_fields, work_dir
 
 LENGTH = 1024
 END_ID = 2
 OPEN_BINS = 1024
 #: Pieces that one packing task takes, about.
 TASK_PIECES = 50_000
+#: Parts that a worker remembers, about 200 bytes each.
+MEMO = 800_000
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -58,8 +60,10 @@ class ByteIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.inner = Memo(self._inner)
+        self.inner = Memo(self._inner, MEMO)
         self.signs = Memo(self._ids, 100)
+        self.word = self.tokenizer.model.tokenize
+        self.byte_chars = {b: c for c, b in _byte_alphabet().items()}
 
     def _ids(self, s: str) -> bytes:
         ids = self.tokenizer.encode(s, add_special_tokens=False).ids
@@ -72,6 +76,9 @@ class ByteIds:
         stem, sign = part[:-1], part[-1]
         if sign in ".,;:!?" and stem.isalpha() and max(stem) < "\u0250":  # a match of letters, then one of signs
             return self.inner[stem] + self.signs[sign]
+        if part.isalpha() and max(part) < "\u0250":  # one match: straight to the model, in its alphabet of bytes
+            ids = [t.id for t in self.word("".join(map(self.byte_chars.__getitem__, (" " + part).encode())))]
+            return struct.pack(f"<{len(ids)}I", *ids)
         return self._ids(" " + part)
 
     def encode(self, text: str) -> bytes:
@@ -88,6 +95,12 @@ class ByteIds:
         return b"".join([self._ids(parts[0]), *map(self.inner.__getitem__, parts[1:-1]), self._ids(" " + parts[-1])])
 
 
+def _byte_alphabet() -> dict[str, int]:
+    """{character: byte} of a byte-level vocabulary: printable Latin-1 stands for itself, other bytes follow from U+0100 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 @lru_cache(2)
 def byte_ids(path: str) -> ByteIds:
     return ByteIds(path)
@@ -161,7 +174,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) ->
             seq, offset = (np.array(placed, np.int64).reshape(-1, 2) + [base, 0]).T
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq), pa.array(offset)], names=[*b.schema.names, "sequence_id", "offset"])
 
-    return pieces.mapInArrow(fit, pieces.schema.add("sequence_id", "long").add("offset", "long"))
+    return pieces.mapInArrow(fit, with_fields(pieces, "sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
