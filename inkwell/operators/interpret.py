@@ -286,7 +286,10 @@ class Interpreter:
         else:
             low = font.descent * font.scale[1] * size + s.rise
             box = (0, low, adv, low + size)
-        x0, y0, x1, y1 = hull(m, *box)
+        if m[1] == 0 == m[2] and m[0] > 0 < m[3] and box[2] >= box[0]:  # upright text, the common case
+            x0, y0, x1, y1 = box[0] * m[0] + m[4], box[1] * m[3] + m[5], box[2] * m[0] + m[4], box[3] * m[3] + m[5]
+        else:
+            x0, y0, x1, y1 = hull(m, *box)
         self._add("glyph", cid=cid, text=f"(cid:{cid})" if text is None else text, x0=x0, y0=y0, x1=x1, y1=y1, matrix=tuple(map(float, m)), font=font.name, fontsize=float(size), size=x1 - x0 if font.vertical else y1 - y0, adv=adv, upright=m[0] * m[3] * scaling > 0 and m[1] * m[2] <= 0, vertical=font.vertical, undefined=text is None, ncs=s.spaces[1][0], scolor=s.colors[0], ncolor=s.colors[1])
         return adv
 
