@@ -74,6 +74,7 @@ class Options:
     check_extractable: bool = False
     strict: bool = False
     compat: bool = False
+    page_block: int = 0
 
     @property
     def params(self) -> Params | None:
@@ -131,9 +132,10 @@ def _color(x: Any) -> str | None:
 
 
 class _Rows:
-    """Rows of a table from one file."""
+    """Rows of a table from one file, or from a block of its pages that begins at ``start``."""
 
-    def __init__(self, data: bytes, o: Options):
+    def __init__(self, data: bytes, o: Options, start: int | None = None):
+        self.block = None if start is None else range(start, start + o.page_block)
         self.o, self.doc = o, Document(data, o.password, o.strict, o.compat)
         if o.check_extractable and self.doc.handler is not None and not self.doc.handler.extractable:
             raise PermissionError("text extraction is not allowed")
@@ -141,7 +143,8 @@ class _Rows:
     def _pages(self) -> Iterator[tuple[int, int | None, dict]]:
         pages = list(self.doc.pages())
         for i in selected(iter(range(len(pages))), self.o):
-            yield i, *pages[i]
+            if self.block is None or i in self.block:
+                yield i, *pages[i]
 
     def _items(self):
         interpreter = Interpreter(self.doc)
@@ -305,11 +308,15 @@ def label_text(style: str | None, prefix: str, first: int, step: int) -> str:
     return prefix + (body.upper() if style in ("R", "A") else body)
 
 
-def rows_of(doc_id: str, data: bytes, table: str, o: Options) -> Iterator[tuple]:
+#: Tables whose rows are of single pages, which blocks of pages can share out.
+BY_PAGE = ("pages", "glyphs", "paths", "figures", "tags", "text_lines", "text_boxes", "text_groups", "text")
+
+
+def rows_of(doc_id: str, data: bytes, table: str, o: Options, start: int | None = None) -> Iterator[tuple]:
     """Rows of one file; the last one holds an error if something can't be read."""
     width = width_of(table)
     try:
-        for row in getattr(_Rows(data, o), table)():
+        for row in getattr(_Rows(data, o, start), table)():
             yield doc_id, *row, None
     except Exception as fault:
         if o.strict:
@@ -318,15 +325,20 @@ def rows_of(doc_id: str, data: bytes, table: str, o: Options) -> Iterator[tuple]
 
 
 def parse_files(files: DataFrame, table: str, options: Options = Options(), id_col: str = "path", content: str = "content") -> DataFrame:
-    """Parse a binary column: one row of files to many rows of a table."""
+    """Parse a binary column: one row of files to many rows of a table. With ``page_block``, each task takes that many pages of a file, so that a huge file is shared out."""
     schema = schema_of(table)
     arrow = to_arrow_schema(schema)
+    files = files.select(files[id_col].cast("string").alias("doc_id"), files[content].alias("content"))
+    blocks = options.page_block > 0 and table in BY_PAGE
+    if blocks:
+        files = files.mapInArrow(_blocks(options), "doc_id string, content binary, start int").repartition("doc_id", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_id, data in zip(b[0].to_pylist(), b[1], strict=True):
+            starts = b["start"].to_pylist() if blocks else [None] * len(b)
+            for doc_id, data, start in zip(b["doc_id"].to_pylist(), b["content"], starts, strict=True):
                 rows: list[tuple] = []
-                for row in rows_of(doc_id, data.as_py() or b"", table, options):
+                for row in rows_of(doc_id, data.as_py() or b"", table, options, start):
                     rows.append(row)
                     if len(rows) == 5000:
                         yield _batch(rows, arrow)
@@ -334,7 +346,24 @@ def parse_files(files: DataFrame, table: str, options: Options = Options(), id_c
                 if rows:
                     yield _batch(rows, arrow)
 
-    return files.select(files[id_col].cast("string"), files[content]).mapInArrow(run, schema)
+    return files.mapInArrow(run, schema)
+
+
+def _blocks(options: Options):
+    """Rows (doc_id, content, first page) for each block of a file's pages; an unreadable file is one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, data in zip(b["doc_id"].to_pylist(), b["content"], strict=True):
+                raw = data.as_py() or b""
+                try:
+                    pages = sum(1 for _ in Document(raw, options.password).pages())
+                except Exception:  # the parse itself reports it
+                    pages = 1
+                for start in range(0, max(pages, 1), options.page_block):
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([raw], pa.binary()), pa.array([start], pa.int32())], names=["doc_id", "content", "start"])
+
+    return run
 
 
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:

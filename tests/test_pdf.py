@@ -255,6 +255,14 @@ def test_reading_files(spark, tmp_path):
         Options.parse({"no_such_option": "1"})
 
 
+def test_blocks_of_pages_give_the_same_rows(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(typeset("\n".join(map(str, range(400)))))
+    (tmp_path / "b.pdf").write_bytes(b"junk")
+    for table in ("text", "glyphs", "pages"):
+        whole, parts = (sorted(map(str, read_pdf(spark, str(tmp_path), table, page_block=n, maxpages=6).collect())) for n in (0, 2))
+        assert whole == parts and whole
+
+
 def test_arriving_files(spark, tmp_path):
     from inkwell.streaming.arrivals import append_tables, stream_pdf
 
