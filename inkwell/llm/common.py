@@ -19,7 +19,18 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SLICE_BYTES = 4 << 20
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """Arrow batches small enough for Python workers with little memory, however long texts are. A smaller setting of the session stays."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(name, None)
+        digits = "".join(c for c in now or "" if c.isdigit())
+        if not (now and now == digits and 0 < int(digits) <= most):
+            spark.conf.set(name, str(most))
+    return spark
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -54,11 +65,11 @@ def text_bytes(col: pa.Array) -> list[bytes]:
     return col.fill_null("").cast(pa.binary()).to_pylist()
 
 
-def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most about ``limit`` bytes; a longer row stands alone."""
+def slices(sizes: np.ndarray, limit: int = SLICE_BYTES, rows: int = 2000) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows and about ``limit`` bytes; a longer row stands alone."""
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if total and total + n > limit:
+        if total and total + n > limit or i - start >= rows:
             yield start, i
             start, total = i, 0
         total += n
@@ -103,16 +114,24 @@ def _place(keys: list[str]):
     return F.pmod(F.xxhash64(*keys), F.lit(1 << BITMAP_BITS)) + 1
 
 
+#: Columns that are added to a caller's table for a while; no table's own columns begin like this.
+MAYBE = "_inkwell_maybe"
+
+
 def maybe_in(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
-    """df with ``maybe``: false only where no row of ``wanted`` has these keys. Broadcasts a bitmap of a fixed size."""
-    bits = wanted.select(_place(keys).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
-    hashed = df.withColumn("_h", _place(keys)).withColumn("_bucket", F.bitmap_bucket_number("_h")).withColumn("_bit", F.bitmap_bit_position("_h"))
-    hit = F.expr("coalesce((cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(_bit % 8 as int)) & 1, 0) = 1")
-    return hashed.join(F.broadcast(bits), "_bucket", "left").withColumn("maybe", hit).drop("_h", "_bucket", "_bit", "_bits")
+    """df with MAYBE: false only where no row of ``wanted`` has these keys. Broadcasts a bitmap of a fixed size."""
+    bits = wanted.select(_place(keys).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_inkwell_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_inkwell_bits"))
+    hashed = df.withColumn("_inkwell_h", _place(keys)).withColumn("_inkwell_bucket", F.bitmap_bucket_number("_inkwell_h")).withColumn("_inkwell_bit", F.bitmap_bit_position("_inkwell_h"))
+    hit = F.expr("coalesce((cast(conv(hex(substring(_inkwell_bits, cast(_inkwell_bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(_inkwell_bit % 8 as int)) & 1, 0) = 1")
+    return hashed.join(F.broadcast(bits), "_inkwell_bucket", "left").withColumn(MAYBE, hit).drop("_inkwell_h", "_inkwell_bucket", "_inkwell_bit", "_inkwell_bits")
+
+
+def maybe_rows(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    return maybe_in(df, keys, wanted).filter(MAYBE).drop(MAYBE)
 
 
 def without(df: DataFrame, keys: list[str], dropped: DataFrame) -> DataFrame:
     """Rows of df whose keys are not in ``dropped``; only rows that the bitmap can't clear are shuffled."""
     tested = maybe_in(df, keys, dropped)
-    sure = tested.filter("NOT maybe").drop("maybe")
-    return sure.unionByName(tested.filter("maybe").drop("maybe").join(dropped.select(*keys), keys, "left_anti"))
+    sure = tested.filter(~F.col(MAYBE)).drop(MAYBE)
+    return sure.unionByName(tested.filter(MAYBE).drop(MAYBE).join(dropped.select(*keys), keys, "left_anti"))

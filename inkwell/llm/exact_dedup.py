@@ -21,17 +21,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, maybe_in, saved, without, work_dir
+from .common import load, maybe_rows, saved, without, work_dir
 
 #: RocksDB keeps the state on disk; memory of all its instances in an executor together is bounded.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "150",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no preallocated files
 }
-ROWS = "doc_id long, digest string, sha string, batch int, file long, row long"
-LOCATOR = ["batch", "file", "row"]
+PLACE = ["_inkwell_file", "_inkwell_row"]
+LOCATOR = ["_inkwell_batch", *PLACE]
+ROWS = "doc_id long, digest string, sha string, _inkwell_batch int, _inkwell_file long, _inkwell_row long"
 
 
 def normalized(text: Column) -> Column:
@@ -49,7 +50,7 @@ class StreamingDedup:
         self.spark, self.base, self.digest = spark, base, digest
 
     def _located(self, docs: DataFrame, batch: int) -> DataFrame:
-        return located(docs).withColumn("batch", F.lit(batch))
+        return located(docs).withColumn(LOCATOR[0], F.lit(batch))
 
     def add(self, docs: DataFrame, batch: int = 0) -> None:
         """Take a batch of (doc_id, text) rows into the state. A batch number that was added before adds nothing."""
@@ -93,7 +94,7 @@ class StreamingDedup:
         for batch, docs in batches.items():
             t = self._located(docs, batch).select("text", *LOCATOR)
             texts = t if texts is None else texts.unionByName(t)
-        maybe = maybe_in(texts, LOCATOR, marked).filter("maybe").select(normalized(F.col("text")).alias("t"), *LOCATOR)
+        maybe = maybe_rows(texts, LOCATOR, marked).select(normalized(F.col("text")).alias("t"), *LOCATOR)
         hits = saved(maybe.join(marked, LOCATOR), f"{self.base}/hits")
         behind = hits.filter("is_kept").select("digest", F.col("t").alias("kept_text"))
         same = F.col("t") == F.col("kept_text")
@@ -112,7 +113,7 @@ class StreamingDedup:
 
 def located(docs: DataFrame) -> DataFrame:
     """docs, read from files, with the place of each row: a hash of the file's path, and the row's index in it."""
-    return docs.select(*docs.columns, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return docs.select(*docs.columns, F.xxhash64("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -142,5 +143,5 @@ FROM t WINDOW w AS (PARTITION BY t)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that stay, columns unchanged. ``docs`` is read from files."""
-    dropped = exact_dedup(docs).filter("NOT kept").select("file", "row")
-    return without(located(docs), ["file", "row"], dropped).select(*docs.columns)
+    dropped = exact_dedup(docs).filter("NOT kept").select(*PLACE)
+    return without(located(docs), PLACE, dropped).select(*docs.columns)

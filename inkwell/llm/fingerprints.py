@@ -134,9 +134,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def _steps(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
-        for x in range(lo, hi, 60_000):
-            yield x, min(hi, x + 60_000)
+    return slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES)
 
 
 # -- each document and the next one ----------------------------------------------------------------------------

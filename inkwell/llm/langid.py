@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, mix, slices, with_fields
+from .common import bounded, load, mix, slices, with_fields
 
 U = np.uint64
 #: Hash buckets of n-grams; the matrix has this many rows at any size of input.
@@ -85,8 +85,8 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
     return langs, np.log(smooth / smooth.sum(0)).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[str]) -> DataFrame:
-    """``columns`` of docs (which has ``text``) with lang_pred and score, the mean-tempered posterior of the prediction."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[str], named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``columns`` of docs (which has ``text``) with the prediction and its posterior, tempered by the text's length; ``named`` are their names."""
     langs, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(matrix)))
     names = [c for c in columns if c != "text"]
@@ -108,9 +108,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[
                 for i, k, x in zip(some, best, p, strict=True):
                     pred[i], prob[i] = langs[k], x
             cols = [b[c] for c in (columns if "text" in columns else names)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(prob)], names=[*(columns if "text" in columns else names), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(prob)], names=[*(columns if "text" in columns else names), *named])
 
-    return kept.mapInArrow(score, with_fields(kept.select(*columns), "lang_pred string, score double"))
+    return kept.mapInArrow(score, with_fields(kept.select(*columns), f"{named[0]} string, {named[1]} double"))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -129,5 +129,7 @@ LEAST_SCORE = 0.5
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, columns unchanged."""
+    bounded(spark)
     model = train(docs.filter(~held_out()).select("text", "lang"))
-    return predict(docs, model, docs.columns).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    named = ("_inkwell_lang", "_inkwell_score")
+    return predict(docs, model, docs.columns, named).filter((F.col(named[0]) != UNDETERMINED) & (F.col(named[1]) >= LEAST_SCORE)).select(*docs.columns)

@@ -21,14 +21,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, maybe_in, saved, work_dir
+from .common import MAYBE, load, maybe_in, maybe_rows, saved, work_dir
+from .exact_dedup import PLACE as _PLACE
 from .exact_dedup import located
 
 #: Lines that a boundary depends on, and one line in so many is a boundary.
 WINDOW, SPREAD = 3, 4
 #: Lines of a chunk from which on it can be cut out.
 LEAST_LINES = 2
-_PLACE = ["file", "row"]
 
 
 def lines(text: str = "text") -> Column:
@@ -70,7 +70,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     repeated = narrow.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash")
     candidates = saved(narrow.join(repeated, "hash").groupBy(*_PLACE).agg(F.collect_list(F.struct("start", "n", "hash")).alias("found")), f"{base}/candidates")
 
-    holders = maybe_in(docs, _PLACE, candidates).filter("maybe").drop("maybe").join(candidates, _PLACE)
+    holders = maybe_rows(docs, _PLACE, candidates).join(candidates, _PLACE)
     with_text = holders.withColumn("lines", lines()).select("doc_id", *_PLACE, F.explode("found").alias("c"), "lines").select("doc_id", *_PLACE, "c.start", "c.n", "c.hash", text.alias("chunk"))
     occurrences = saved(with_text, f"{base}/occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *_PLACE, "start")
@@ -79,8 +79,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     removed = saved(marked.groupBy(*_PLACE).agg(F.collect_list(F.struct("start", "n")).alias("removed")), f"{base}/removed")
 
     tested = maybe_in(docs, _PLACE, removed)
-    same = tested.filter("NOT maybe").select("doc_id", F.size(lines()).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.coalesce("text", F.lit("")).alias("text"))
-    cut = tested.filter("maybe").join(removed, _PLACE, "left").withColumn("lines", lines())
+    same = tested.filter(~F.col(MAYBE)).select("doc_id", F.size(lines()).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.coalesce("text", F.lit("")).alias("text"))
+    cut = tested.filter(MAYBE).join(removed, _PLACE, "left").withColumn("lines", lines())
     gone = F.coalesce(F.flatten(F.transform("removed", lambda r: F.sequence(r["start"], r["start"] + r["n"] - 1))), F.array().cast("array<int>"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, load, saved, with_fields, work_dir
+from .common import Memo, bounded, load, saved, with_fields, work_dir
 
 LENGTH = 1024
 END_ID = 2
@@ -190,4 +190,5 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: one row per packed piece."""
+    bounded(spark)
     return pack_documents(docs.select("doc_id", "text"))
