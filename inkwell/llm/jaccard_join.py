@@ -16,11 +16,11 @@ set X in a scheme, cost-based allocation gives each band one of two indexes:
   A pair with one set whose rest suffices is found through that rest; two sets whose rests don't, index all.
 
 The second index takes about five times as many signatures of twice as many elements each. The cost of a band is its signatures
-plus the candidate pairs expected from the share of its shingles that occur in several sets; both are measured over the whole
-table and the cheaper index is taken.
+plus the candidate pairs expected from the share of its shingles that are frequent, as those of passages are; both are measured over the
+whole table and the cheaper index is taken.
 
 Equal sets form a class beforehand. Sets under one signature form a run; equal runs count once. In a run, pairs are
-cleared by a sketch (bin counts, whose L1 distance never exceeds the difference) before any set is looked at. First each run
+cleared by a sketch (parities of hash bins, which never differ in more bits than the sets in elements) before any set is looked at. First each run
 gives the pairs of a few pivots; they are verified on the whole sets, and links give components. Then runs that still hold
 several components give all pairs across components that the sketch can't clear, in blocks of BLOCK sets; these are verified too.
 So a group of near copies is joined by a number of pairs linear in its size, and no link between components is lost.
@@ -39,9 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, load, maybe_in, mix, saved, slices, text_bytes, without, work_dir
+from .common import U, bounded, buffers, load, maybe_rows, mix, saved, slices, text_bytes, with_fields, without, work_dir
 from .components import components
-from .shingles import BINS, by_set, keys, shingle_sets, sketches
+from .exact_dedup import PLACE, located
+from .shingles import Sketches, by_set, keys, shingle_sets, sketches
 
 #: Bands of sizes up to 2^BANDS.
 BANDS = 40
@@ -49,17 +50,23 @@ BANDS = 40
 BLOCK = 4096
 #: Pivots of a run in the first step.
 PIVOTS = 4
+#: Partners of one pivot that are verified in one group.
+FAN = 2000
 #: Equal signatures in one chunk of a task from which on they bypass the bucket as rows of their own.
 HOT = 256
+#: Bytes of text that one numpy step works on.
+STEP_BYTES = 2 << 20
 #: Signatures that a task gathers before it hands them out.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 #: One in so many shingles is counted over the whole table to measure how many are shared.
 PROBE = 1024
+#: A shingle is frequent if at least this share of all sets has it: a passage of the whole corpus, not of a family of copies.
+FREQUENT = 1 / 1000
 #: Costs of a signature and of a candidate pair, in the same unit.
 SIGNATURE_COST, PAIR_COST = 1.0, 0.2
 
 _K1, _K2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
-DESCRIBED = "doc_id long, key long, check long, n long, sketch binary, probe array<long>"
+DESCRIBED = "key long, check long, n long, sketch binary, probe array<long>"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -70,16 +77,17 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: digests of its set, size, sketch, and the probe shingles."""
     for b in batches:
         texts = text_bytes(b["text"])
-        for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts))):
+        for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
             sets, at = shingle_sets(texts[lo:hi])
             n = np.diff(at)
             key, check = keys(sets, at)
             probe = sets % U(PROBE) == 0
             probe_at = np.concatenate([[0], np.cumsum(probe)])[at].astype(np.int32)
             sk = sketches(sets, at)
+            rest = [c for c in b.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"].slice(lo, hi - lo), pa.array(_signed(key), mask=n == 0), pa.array(_signed(check)), pa.array(n), pa.array([x.tobytes() for x in sk], pa.binary()), pa.ListArray.from_arrays(pa.array(probe_at), pa.array(_signed(sets[probe])))],
-                names=["doc_id", "key", "check", "n", "sketch", "probe"],
+                [*(b[c].slice(lo, hi - lo) for c in rest), pa.array(_signed(key), mask=n == 0), pa.array(_signed(check)), pa.array(n), pa.array(sk, pa.binary()), pa.ListArray.from_arrays(pa.array(probe_at), pa.array(_signed(sets[probe])))],
+                names=[*rest, "key", "check", "n", "sketch", "probe"],
             )
 
 
@@ -92,7 +100,7 @@ def most_different(band: int) -> int:
 
 
 def allocate(bands: dict[int, tuple[int, float, float]]) -> dict[int, tuple[int, int]]:
-    """{band: (segments, of them with weight 2)}; weight 2 nowhere means subsets only. ``bands``: sets, mean size and share of shared shingles of each."""
+    """{band: (segments, of them with weight 2)}; weight 2 nowhere means subsets only. ``bands``: sets, mean size and share of frequent shingles of each."""
     plan = {}
     for band, (sets, size, shared) in bands.items():
         h = most_different(band)
@@ -101,7 +109,7 @@ def allocate(bands: dict[int, tuple[int, float, float]]) -> dict[int, tuple[int,
         two = twos + (h + 1) % 2
 
         def cost(signatures: float, elements: float, segments: int) -> float:
-            # a pair of sets meets by chance in a segment whose elements are all shared ones
+            # a pair of sets meets by chance in a segment whose elements are all frequent ones
             return SIGNATURE_COST * sets * signatures + PAIR_COST * segments * (sets * shared ** max(elements, 1)) ** 2 / 2
 
         subsets, deletions = cost(h + 1, size / m, m), cost(size + two, size / two, two)
@@ -212,7 +220,7 @@ def _emitter(plan: dict[int, tuple[int, int]], buckets: int):
         size = 0
         for b in batches:
             texts = text_bytes(b["text"])
-            for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts))):
+            for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
                 sets, at = shingle_sets(texts[lo:hi])
                 key, _ = keys(sets, at)
                 new = np.zeros(len(key), bool)
@@ -317,19 +325,29 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple
         yield done, start, length
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, np.uint8).reshape(-1, BINS)
-
-
-def _near(sk: np.ndarray, n: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
+def _near(sk: Sketches, n: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
     """Those of rest that may link with i, by size and sketch."""
     rest = rest[4 * np.maximum(n[rest], n[i]) <= 5 * np.minimum(n[rest], n[i])]
-    if not len(rest):
-        return rest
-    coarse = sk[rest, : BINS // 8]
-    rest = rest[9 * np.abs(coarse.astype(np.int16) - sk[i, : BINS // 8]).sum(1) <= n[rest] + n[i]]
-    return rest[9 * np.abs(sk[rest].astype(np.int16) - sk[i]).sum(1) <= n[rest] + n[i]]
+    return rest[9 * sk.differ(np.full(len(rest), i), rest) <= n[rest] + n[i]]
+
+
+def _uncleared(sk: Sketches, n: np.ndarray, left: np.ndarray, right: np.ndarray, allowed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of left and right that may link: of sizes near enough, allowed, and whose sketches differ in few enough bits, first a quarter of them."""
+    left, right = left[np.argsort(n[left], kind="stable")], right[np.argsort(n[right], kind="stable")]
+    sizes, quarter = n[right], sk.quarter
+    for s in range(0, len(left), 64):
+        some = left[s : s + 64]
+        first, last = np.searchsorted(sizes, -(-4 * n[some[0]] // 5)), np.searchsorted(sizes, 5 * n[some[-1]] // 4, "right")
+        for r in range(first, last, 2048):
+            other = right[r : min(r + 2048, last)]
+            p, q = some[:, None], other[None, :]
+            ok = (4 * np.maximum(n[p], n[q]) <= 5 * np.minimum(n[p], n[q])) & allowed(p, q)
+            if ok.any():
+                ok &= 9 * np.bitwise_count(quarter[some][:, None, :] ^ quarter[other][None, :, :]).sum(2, dtype=np.int64) <= n[p] + n[q]
+                i, j = np.nonzero(ok)
+                x, y = some[i], other[j]
+                close = 9 * sk.differ(x, y) <= n[x] + n[y]
+                yield x[close], y[close]
 
 
 _PAIRS = "a long, b long"
@@ -344,7 +362,7 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A few pivots of each run with all that may link with them."""
     for table, starts, lengths in _grouped(batches, ["run", "block"]):
-        key, n, sk = table["key"].to_numpy(), table["n"].to_numpy(), _matrix(table["sketch"])
+        key, n, sk = table["key"].to_numpy(), table["n"].to_numpy(), Sketches(table["sketch"].to_pylist())
         a, b = [], []
         for s, length in zip(starts.tolist(), lengths.tolist(), strict=True):
             left = np.arange(s, s + length)
@@ -361,23 +379,28 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a block whose sets are in different components and that the sketch can't clear."""
+    """All pairs of a block whose sets are in different components and that the sketch can't clear; of the runs that two sets share, the smallest gives the pair."""
     for table, starts, lengths in _grouped(batches, ["run", "i", "j"]):
-        key, n, sk, label = table["key"].to_numpy(), table["n"].to_numpy(), _matrix(table["sketch"]), table["label"].to_numpy()
-        block, i_, j_ = table["block"].to_numpy(), table["i"].to_numpy(), table["j"].to_numpy()
+        key, n, sk, label = table["key"].to_numpy(), table["n"].to_numpy(), Sketches(table["sketch"].to_pylist()), table["label"].to_numpy()
+        block, i_, j_, run = (table[c].to_numpy() for c in ("block", "i", "j", "run"))
+        lists = table["mine"].combine_chunks()
+        held, held_at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        mine: dict[int, frozenset] = {}
+
+        def runs_of(x: int) -> frozenset:
+            if x not in mine:
+                mine[x] = frozenset(held[held_at[x] : held_at[x + 1]].tolist())
+            return mine[x]
+
         a, b = [], []
         for s, length in zip(starts.tolist(), lengths.tolist(), strict=True):
             rows = np.arange(s, s + length)
             within = i_[s] == j_[s]
             left, right = (rows, rows) if within else (rows[block[rows] == i_[s]], rows[block[rows] == j_[s]])
-            right = right[np.argsort(n[right], kind="stable")]
-            sizes = n[right]
-            for x in left.tolist():
-                near = right[np.searchsorted(sizes, -(-4 * n[x] // 5)) : np.searchsorted(sizes, 5 * n[x] // 4, "right")]
-                near = near[(label[near] != label[x]) & ((key[near] > key[x]) | (not within))]
-                if len(near) and len(near := _near(sk, n, x, near)):
-                    a.append(np.full(len(near), key[x]))
-                    b.append(key[near])
+            for x, y in _uncleared(sk, n, left, right, lambda p, q, within=within: (label[p] != label[q]) & ((key[p] < key[q]) | (not within))):
+                mine_too = [z for z in range(len(x)) if min(runs_of(int(x[z])) & runs_of(int(y[z]))) == run[s]]
+                a.append(key[x[mine_too]])
+                b.append(key[y[mine_too]])
         yield _pairs(a, b)
 
 
@@ -387,47 +410,55 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = text_bytes(b["text"])
-        for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts))):
+        for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
             sets, at = shingle_sets(texts[lo:hi])
             key, _ = keys(sets, at)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array([sets[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["key", "elements"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a pivot's group, its own set first: pairs of the pivot and each other set that link."""
+    group, pivot = None, np.zeros(0, U)
     for batch in batches:
-        ok = []
-        for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")  # merges two sorted runs
-            common = int((both[1:] == both[:-1]).sum())
-            ok.append(100 * common >= 80 * (len(x) + len(y) - common))
-        keep = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
+        a, b = [], []
+        data, ends = buffers(batch["elements"])
+        for at, salt, first, key, lo, hi in zip(batch["a"].to_pylist(), batch["salt"].to_pylist(), batch["pivot"].to_pylist(), batch["key"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            elements = data[lo:hi].view(U)
+            if first:
+                group, pivot = (at, salt), elements.copy()
+            elif group == (at, salt):
+                both = np.concatenate([pivot, elements])
+                both.sort(kind="stable")  # merges two sorted runs
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= 80 * (len(both) - common):
+                    a.append(at)
+                    b.append(key)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, base: str) -> DataFrame:
-    """Pairs of keys whose sets link. One set for each key is read again from the documents."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    reps = saved(classes.join(wanted, "key").select("key", F.col("rep").alias("doc_id")), f"{base}/wanted")
-    found = maybe_in(docs, ["doc_id"], reps).filter("maybe").select("text").mapInArrow(_sets, "key long, elements binary")
-    sets = saved(found.join(reps.select("key"), "key", "left_semi").groupBy("key").agg(F.min("elements").alias("elements")), f"{base}/sets")
-    joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("y")), "b")
-    return saved(joined.select("a", "b", "x", "y").mapInArrow(_verify, _PAIRS), f"{base}/links")
+    """Pairs of keys whose sets link. Sets are read again from the documents and go to the groups of their pivots; a pivot with many partners has several groups."""
+    groups = F.ceil(F.col("c") / FAN)
+    salted = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), groups))
+    pivots = salted.select(F.col("a").alias("key"), "a", "salt", F.lit(True).alias("pivot")).distinct()
+    places = saved(salted.select(F.col("b").alias("key"), "a", "salt", F.lit(False).alias("pivot")).union(pivots), f"{base}/places")
+    reps = saved(classes.join(places.select("key").distinct(), "key").select(F.col("rep").alias("doc_id")), f"{base}/wanted")
+    found = maybe_rows(docs, ["doc_id"], reps).select("text").mapInArrow(_sets, "key long, elements binary")
+    rows = found.join(places, "key").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("pivot"))
+    return saved(rows.select("a", "salt", "pivot", "key", "elements").mapInArrow(_verify, _PAIRS).distinct(), f"{base}/links")
 
 
 # -- the operator ----------------------------------------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame, plan: dict[int, tuple[int, int]] | None = None) -> DataFrame:
-    """(doc_id, text) to doc_id, n_shingles, component_id, class_key, links. ``links``: verified links that the document's class keeps.
-
-    ``plan`` overrides the allocation, for tests.
+def jaccard_components(docs: DataFrame, plan: dict[int, tuple[int, int]] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) to doc_id, n_shingles, component_id, group, links. ``group`` names the component, null for an empty set; ``links`` are the
+    verified links that the document's class keeps. Columns in ``carried`` stay. ``plan`` overrides the allocation, for tests.
     """
     spark = docs.sparkSession
     base = work_dir(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = saved(docs.mapInArrow(_describe, DESCRIBED), f"{base}/described")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, F.col("text").cast("string").alias("text"))
+    described = saved(docs.mapInArrow(_describe, with_fields(docs.drop("text"), DESCRIBED)), f"{base}/described")
     classes = described.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.first("sketch").alias("sketch"))
     classes = saved(classes, f"{base}/classes")
     if classes.filter("c0 <> c1").limit(1).count():
@@ -439,16 +470,21 @@ def jaccard_components(docs: DataFrame, plan: dict[int, tuple[int, int]] | None
     met = packed.repartition(buckets // 4, "p").mapInArrow(_meet, "run long, key long")
     runs = saved(met.distinct(), f"{base}/runs")
     runs = runs.join(runs.groupBy("run").agg(F.count(F.lit(1)).alias("k")), "run").filter("k > 1")
-    runs = saved(runs.join(classes.select("key", "n", "sketch"), "key").withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))), f"{base}/members")
+    runs = saved(runs.withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).drop("k"), f"{base}/members")
+    shapes = classes.select("key", "n", "sketch")
 
-    stars = runs.repartition("run", "block").sortWithinPartitions("run", "block", "key").select("run", "block", "key", "n", "sketch").mapInArrow(_pivots, _PAIRS)
+    stars = runs.join(shapes, "key").repartition("run", "block").sortWithinPartitions("run", "block", "key").select("run", "block", "key", "n", "sketch").mapInArrow(_pivots, _PAIRS)
     first = verified(saved(stars.distinct(), f"{base}/stars"), docs, classes, f"{base}/first")
     labels = components(first, f"{base}/first/components").select(F.col("node").alias("key"), "label")
 
+    # sketches join last, so that only one exchange carries them
     labelled = runs.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = labelled.groupBy("run").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("run")
-    grid = labelled.join(mixed, "run", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    across = grid.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "key").select("run", "i", "j", "block", "key", "n", "sketch", "label").mapInArrow(_across, _PAIRS)
+    open_ = saved(labelled.join(mixed, "run", "left_semi"), f"{base}/open")
+    mine = open_.groupBy("key").agg(F.collect_list("run").alias("mine"))  # at most a set's signatures
+    grid = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+    wide = grid.join(mine.join(shapes, "key"), "key")
+    across = wide.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "key").select("run", "i", "j", "block", "key", "n", "sketch", "label", "mine").mapInArrow(_across, _PAIRS)
     second = verified(saved(across.distinct(), f"{base}/across"), docs, classes, f"{base}/second")
     links = first.union(second).distinct()
     labels = components(links, f"{base}/second/components").select(F.col("node").alias("key"), "label")
@@ -456,28 +492,34 @@ def jaccard_components(docs: DataFrame, plan: dict[int, tuple[int, int]] | None
     ends = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
     named = classes.select("key", "rep").join(labels, "key")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    place = saved(named.join(smallest, "label").join(ends, "key", "left").select("key", "component_id", "links"), f"{base}/place")
-    by_class = classes.select("key", "rep").join(place, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    result = described.select("doc_id", "n", "key").join(by_class, "key", "left")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("key").alias("class_key"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    place = saved(named.join(smallest, "label").join(ends, "key", "left").select("key", "label", "component_id", "links"), f"{base}/place")
+    by_class = classes.select("key", "rep").join(place, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("label", "key").alias("group"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    result = described.select("doc_id", *carried, "n", "key").join(by_class, "key", "left")
+    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group", F.coalesce("links", F.lit(0).cast("long")).alias("links"), *carried)
 
 
 def _measure(described: DataFrame, classes: DataFrame) -> dict[int, tuple[int, float, float]]:
-    """{band: (sets, mean size, share of shingles that several sets have)}, at most BANDS rows."""
+    """{band: (sets, mean size, share of frequent shingles)}, at most BANDS rows."""
     band = F.floor(F.log2(F.col("n") + 0.5)).cast("int").alias("band")
     sizes = {r["band"]: r for r in classes.groupBy(band).agg(F.count(F.lit(1)).alias("sets"), F.avg("n").alias("size")).collect()}
+    often = max(2, FREQUENT * sum(r["sets"] for r in sizes.values()))
     probe = described.filter("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("probe").alias("probe")).select(band, F.explode("probe").alias("h"))
     by = probe.groupBy("h", "band").agg(F.count(F.lit(1)).alias("c"))
     df = by.groupBy("h").agg(F.sum("c").alias("df"))
-    shared = {r["band"]: r["s"] for r in by.join(df, "h").groupBy("band").agg((F.sum(F.when(F.col("df") > 1, F.col("c")).otherwise(0)) / F.sum("c")).alias("s")).collect()}
-    return {b: (r["sets"], r["size"], shared.get(b, 0.5)) for b, r in sizes.items()}
+    shared = {r["band"]: r["s"] for r in by.join(df, "h").groupBy("band").agg((F.sum(F.when(F.col("df") >= often, F.col("c")).otherwise(0)) / F.sum("c")).alias("s")).collect()}
+    return {b: (r["sets"], r["size"], shared.get(b, 0.0)) for b, r in sizes.items()}
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(load(spark, sf_dir, "documents")).drop("class_key")
+    return jaccard_components(load(spark, sf_dir, "documents")).drop("group")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; columns unchanged."""
-    dropped = jaccard_components(docs).filter("component_id <> doc_id").select("doc_id")
-    return without(docs, ["doc_id"], saved(dropped, work_dir(spark, "near-dropped"))).select(*docs.columns)
+    """Of each group of near duplicates the document with the smallest id stays (of rows with one id the first by place); columns unchanged. ``docs`` is read from files."""
+    bounded(spark)
+    base = work_dir(spark, "near-stage")
+    placed = located(docs)
+    found = saved(jaccard_components(placed.select("doc_id", "text", *PLACE), carried=tuple(PLACE)), f"{base}/components").filter("`group` IS NOT NULL")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *PLACE)).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    dropped = found.join(first, "group").filter(F.struct(*PLACE) != F.struct(*(F.col(f"first.{c}") for c in PLACE))).select(*PLACE)
+    return without(placed, PLACE, saved(dropped, f"{base}/dropped")).select(*docs.columns)

@@ -13,14 +13,15 @@ WORDS = 5
 #: Fixed odd multipliers, one for each place in a shingle; drawn once from a seeded generator.
 _PLACES = np.random.default_rng(20).integers(1, 2**63, WORDS, dtype=np.uint64) * U(2) + U(1)
 _SHORT = U(0x5851F42D4C957F2D)
-BINS = 128
+#: Bits of a sketch, and those of sets with at least LONG elements.
+BITS, FINE, LONG = 1024, 4096, 1024
 
 
 def _word(w: bytes) -> int:
     return int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
 
 
-_words = Memo(_word, 400_000)
+_words = Memo(_word, 250_000)
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +72,45 @@ def keys(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mix(by_set(mix(sets ^ U(0xA5A5)), offsets)), mix(by_set(mix(sets + U(0x1234567)), offsets) + U(1))
 
 
-def sketches(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Counts of each set's elements in BINS bins, at most 255. Their L1 distance is at most the size of the symmetric difference."""
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    bins = np.bincount(owner * BINS + (sets >> U(57)).astype(np.int64), minlength=(len(offsets) - 1) * BINS)
-    return np.minimum(bins, 255).astype(np.uint8).reshape(-1, BINS)
+def sketches(sets: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Bits of each set: whether an odd number of its elements falls on the bit. Two sketches differ in at most as many bits as the sets' symmetric
+    difference has elements. Sets of LONG elements have FINE bits, others BITS; a fine sketch folds to a coarse one.
+    """
+    n = np.diff(offsets)
+    out: list[bytes] = [b""] * len(n)
+    for long, bits in ((False, BITS), (True, FINE)):
+        who = np.flatnonzero((n >= LONG) == long)
+        for lo in range(0, len(who), 500):
+            some = who[lo : lo + 500]
+            mine = np.concatenate([sets[offsets[i] : offsets[i + 1]] for i in some.tolist()])
+            owner = np.repeat(np.arange(len(some)), n[some])
+            odd = np.bincount(owner * bits + (mine >> U(65 - bits.bit_length())).astype(np.int64), minlength=len(some) * bits) & 1
+            for i, row in zip(some.tolist(), np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1), strict=True):
+                out[i] = row.tobytes()
+    return out
+
+
+class Sketches:
+    """Sketches of many sets, ready to be compared."""
+
+    def __init__(self, raw: list[bytes]):
+        fine = [i for i, r in enumerate(raw) if len(r) > BITS // 8]
+        self.fine = np.full(len(raw), -1)
+        self.fine[fine] = np.arange(len(fine))
+        self.full = np.frombuffer(b"".join(raw[i] for i in fine), np.uint8).reshape(-1, FINE // 8)
+        folded = np.packbits(np.unpackbits(self.full, axis=1).reshape(len(fine), BITS, FINE // BITS).sum(2, dtype=np.uint8) & 1, axis=1) if fine else None
+        short = list(raw)
+        for k, i in enumerate(fine):
+            short[i] = folded[k].tobytes()
+        self.coarse = np.frombuffer(b"".join(short), U).reshape(-1, BITS // 64)
+        self.quarter = np.ascontiguousarray(self.coarse[:, : BITS // 256])
+        self.full = self.full.view(U) if fine else self.full
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Differing bits of pairs of rows, in the finest sketches that both have."""
+        out = np.bitwise_count(self.coarse[x] ^ self.coarse[y]).sum(1, dtype=np.int64)
+        both = np.flatnonzero((self.fine[x] >= 0) & (self.fine[y] >= 0))
+        for lo in range(0, len(both), 4096):
+            b = both[lo : lo + 4096]
+            out[b] = np.bitwise_count(self.full[self.fine[x[b]]] ^ self.full[self.fine[y[b]]]).sum(1, dtype=np.int64)
+        return out
