@@ -2,7 +2,7 @@
 
 Bounded-space online best fit: at most ``open_bins`` sequences are open, found through a bitset whose bit f is
 set while some open sequence has f free places, so that the tightest fit is one shift and one lowest-bit step.
-When one more sequence must be opened, the fullest closes. Tokenising gives a narrow table of pieces (no texts),
+When one more sequence must be opened, the fullest closes. Pieces arrive in windows and the longest of a window are placed first. Tokenising gives a narrow table of pieces (no texts),
 written to the shared folder; each packing task then takes some tens of thousands of pieces and packs on its
 own, so that only the last few sequences of a task stay partly empty.
 
@@ -35,6 +35,8 @@ from .common import Memo, bounded, load, saved, with_fields, work_dir
 LENGTH = 1024
 END_ID = 2
 OPEN_BINS = 1024
+#: Pieces that wait for each other before they are placed.
+WINDOW = 2000
 #: Pieces that one packing task takes, about.
 TASK_PIECES = 50_000
 #: Parts that a worker remembers, about 200 bytes each.
@@ -165,13 +167,17 @@ class BestFit:
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
-    """Add sequence_id and offset. Each partition is packed on its own, in its order."""
+    """Add sequence_id and offset. Each partition is packed on its own, in windows of WINDOW pieces, the longest of a window first."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = BestFit(length, open_bins), TaskContext.get().partitionId() << 36
         for b in batches:
-            placed = [bins.place(n) for n in b["length"].to_pylist()]
-            seq, offset = (np.array(placed, np.int64).reshape(-1, 2) + [base, 0]).T
+            lengths = b["length"].to_numpy()
+            placed = np.zeros((len(b), 2), np.int64)
+            for lo in range(0, len(b), WINDOW):
+                for i in (lo + np.argsort(-lengths[lo : lo + WINDOW], kind="stable")).tolist():
+                    placed[i] = bins.place(int(lengths[i]))
+            seq, offset = (placed + [base, 0]).T
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq), pa.array(offset)], names=[*b.schema.names, "sequence_id", "offset"])
 
     return pieces.mapInArrow(fit, with_fields(pieces, "sequence_id long, offset long"))
