@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, load, with_fields
+from .common import Memo, load, sole_memo, with_fields
 
 #: Characters of a text that are encoded directly, and bytes of one match.
 LEAF_CHARS, LEAF_BYTES = 4096, 256
@@ -204,6 +204,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("text", "ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo("bpe", codec.cache_clear)
         bpe = codec(ranks_path, pattern)
         for b in batches:
             got = [bpe.encode(t.as_py()) if t.is_valid else np.zeros(0, np.uint32) for t in b["text"]]
@@ -219,6 +220,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     names = [c for c in encoded.columns if c != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo("bpe", codec.cache_clear)
         bpe = codec(ranks_path, pattern)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(map(bpe.decode, _lists(b["ids"])), pa.binary())], names=[*names, "decoded"])
@@ -237,6 +239,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = default_ranks()
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo("bpe", codec.cache_clear)
         bpe = codec(*at)
         for b in batches:
             n, a, d = [], [], []

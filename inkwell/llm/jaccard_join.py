@@ -39,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, bounded, buffers, load, maybe_rows, mix, saved, slices, text_bytes, with_fields, without, work_dir
+from .common import U, bounded, buffers, load, maybe_rows, mix, saved, slices, sole_memo, text_bytes, with_fields, without, work_dir
 from .components import components
 from .exact_dedup import PLACE, located
-from .shingles import Sketches, by_set, keys, shingle_sets, sketches
+from .shingles import Sketches, by_set, forget, keys, shingle_sets, sketches
 
 #: Bands of sizes up to 2^BANDS.
 BANDS = 40
@@ -75,6 +75,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: digests of its set, size, sketch, and the probe shingles."""
+    sole_memo("shingles", forget)
     for b in batches:
         texts = text_bytes(b["text"])
         for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
@@ -215,6 +216,7 @@ def _emitter(plan: dict[int, tuple[int, int]], buckets: int):
             yield _packed([int(p[s]) for s, _ in part], [sig[s : s + n] for s, n in part], [key[s : s + n] for s, n in part])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo("shingles", forget)
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -255,6 +257,7 @@ def _members(run: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed signatures of some buckets to (run, key) rows of all runs of several sets."""
+    sole_memo("runs", lambda: None)
     sigs, ks = [], []
     for b in batches:
         for p, s, k in zip(b["p"].to_pylist(), b["sigs"].to_pylist(), b["keys"].to_pylist(), strict=True):
@@ -408,6 +411,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole_memo("shingles", forget)
     for b in batches:
         texts = text_bytes(b["text"])
         for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, load, mix, slices, with_fields
+from .common import bounded, load, mix, slices, sole_memo, with_fields
 
 U = np.uint64
 #: Hash buckets of n-grams; the matrix has this many rows at any size of input.
@@ -93,6 +93,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[
     kept = docs.select(*columns, *(["text"] if "text" not in columns else []))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo("language", lambda: None)
         langs, matrix = shared.value
         for b in batches:
             texts = b["text"].to_pylist()

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded, load, saved, with_fields, work_dir
+from .common import Memo, bounded, load, saved, sole_memo, with_fields, work_dir
 
 LENGTH = 1024
 END_ID = 2
@@ -123,6 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     tail = struct.pack("<I", end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo("packing", byte_ids.cache_clear)
         encoder = byte_ids(tokenizer)
         for b in batches:
             rows = [(i, *p) for i, t in zip(b["doc_id"].to_pylist(), b["text"], strict=True) for p in _cut((encoder.encode(t.as_py()) if t.is_valid else b"") + tail, length)]

@@ -24,6 +24,10 @@ def _word(w: bytes) -> int:
 _words = Memo(_word, 250_000)
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct 64-bit shingle hashes of each text, one after another; offsets).
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import codec, default_ranks
-from .common import load, work_dir
+from .common import load, sole_memo, work_dir
 from .packing import byte_ids, default_tokenizer
 
 COUNTED = "doc_id long, op string, seq long, source string, lang string, n_chars long, tokenizer string, tokens long"
@@ -38,10 +38,16 @@ def counters():
     return {"byte_bpe_50k@1": lambda t: len(single.encode(t)) // 4, "byte_bpe_multi_50k@1": lambda t: len(multi.encode(t))}
 
 
+def _forget() -> None:
+    for f in (counters, byte_ids, codec):
+        f.cache_clear()
+
+
 def count_tokens(changes: DataFrame) -> DataFrame:
     """(doc_id, op, seq, source, lang, text) to a row per change and tokenizer version, with its count instead of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo("token_counts", _forget)
         by = counters()
         for b in batches:
             texts = [t or "" for t in b["text"].to_pylist()]
