@@ -2,7 +2,8 @@
 
 The index is built once from fixed templates: for every word the places (template, position) where it stands, and the key phrases
 that a finding must show. A word's weight is its inverse document frequency over the whole scanned table (a
-count of the templates' words only, a few hundred rows). In a text, the licence words of the highest weight are looked up; their
+count of the templates' words only, a few hundred rows). Each template is looked up by its own places of the highest weight, LEAST_VOTES more
+than a finding may miss, so that every finding has enough votes whatever else the text holds. Their
 postings are intersected by relative position, that is, each occurrence votes for (template, place of its first
 word), and a place with enough votes is verified: the share of the template's words that stand where they should, and all mandatory
 phrases within its span.
@@ -46,9 +47,7 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under CC BY-SA 4.0", ["cc by sa"]),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution"]),
 ]
-#: Licence words of a text that are looked up, the weightiest first.
-LOOKED_UP = 12
-#: Share of a template's words that must stand in place, and of its looked-up words that must have voted.
+#: Share of a template's words that must stand in place, and number of its looked-up words that must have voted.
 LEAST_SHARE = 0.85
 LEAST_VOTES = 2
 
@@ -63,24 +62,23 @@ def words_of(text: bytes) -> list[bytes]:
 class LicenceIndex:
     def __init__(self, templates=TEMPLATES):
         self.templates = [(label, words_of(t.encode()), [words_of(p.encode()) for p in phrases]) for label, t, phrases in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for i, (_, words, _) in enumerate(self.templates):
-            for at, w in enumerate(words):
-                self.postings[w].append((i, at))
-        self.weight: dict[bytes, float] = {}
+        self.vocabulary = list(dict.fromkeys(w for _, words, _ in self.templates for w in words))
+        self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        self.weighted({}, 0)
 
     def weighted(self, frequency: dict[bytes, int], documents: int) -> LicenceIndex:
-        self.weight = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in self.postings}
+        weight = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in self.vocabulary}
+        self.postings = defaultdict(list)
+        for i, (_, words, _) in enumerate(self.templates):
+            missing = sum(k / len(words) >= LEAST_SHARE for k in range(len(words)))
+            for at in sorted(range(len(words)), key=lambda p: (-weight[words[p]], words[p], p))[: missing + LEAST_VOTES]:
+                self.postings[words[at]].append((i, at))
         return self
 
     def scan(self, words: list[bytes]) -> list[tuple[str, float]]:
         """(label, share of the template in place) of all verified findings."""
-        present = self.postings.keys() & set(words)
-        if len(present) < LEAST_VOTES:
-            return []
-        chosen = set(sorted(present, key=lambda w: (-self.weight[w], w))[:LOOKED_UP])
         votes: Counter[tuple[int, int]] = Counter()
-        for w in chosen:
+        for w in self.postings.keys() & set(words):
             at = -1
             try:
                 while True:
@@ -135,7 +133,7 @@ _OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long,
 def scan_licences(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to word count, base places and labels, all labels, and the best finding's share as score."""
     index = LicenceIndex()
-    index.weighted(*frequencies(docs, list(index.postings)))
+    index.weighted(*frequencies(docs, index.vocabulary))
     base = [(words_of(p.encode()), label) for p, label in BASE.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

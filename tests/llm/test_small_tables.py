@@ -328,6 +328,21 @@ def test_licence_places_match_a_regular_expression(docs):
         assert [w.decode() for w in licenses.words_of(some(t).encode())] == word.findall(low)
 
 
+@pytest.mark.parametrize("common", [False, True], ids=["unseen words", "common words"])
+def test_every_licence_of_a_file_is_found(common):
+    index = licenses.LicenceIndex()
+    if common:
+        index.weighted({w: 7 * k % 90 for k, w in enumerate(index.vocabulary)}, 100)
+    parts = [(label, licenses.words_of(t.encode())) for label, t, _ in licenses.TEMPLATES]
+    for (a, x), (b, y) in itertools.permutations(parts, 2):
+        assert {a, b} <= {label for label, _ in index.scan([*x, b"between", *y])}
+    assert {a for a, _ in parts} == {label for label, _ in index.scan([w for _, x in parts for w in x])}
+    for label, x in parts:  # as many words replaced as a finding may miss, its own phrases apart
+        phrases = {w for (_, t, p) in index.templates if t == x for q in p for w in q}
+        free = [k for k, w in enumerate(x) if w not in phrases][: sum(k / len(x) >= licenses.LEAST_SHARE for k in range(len(x)))]
+        assert label in {f for f, _ in index.scan([b"-" if k in free else w for k, w in enumerate(x)])}
+
+
 # -- languages -------------------------------------------------------------------------------------------------
 
 
