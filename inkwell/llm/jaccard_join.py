@@ -24,6 +24,8 @@ cleared by a sketch (parities of hash bins, which never differ in more bits than
 gives the pairs of a few pivots; they are verified on the whole sets, and links give components. Then runs that still hold
 several components give all pairs across components that the sketch can't clear, in blocks of BLOCK sets; these are verified too.
 So a group of near copies is joined by a number of pairs linear in its size, and no link between components is lost.
+Links are then counted inside the components, exactly: where all pairs of a component are verified links, from these; else its sets
+are brought together in blocks of at most about BLOCK sets and ELEMENTS shingles, and postings of shingles give what each two have in common.
 
 Links are exact up to 64-bit hashes of shingles. Defined cases: null or wordless text has an empty set and links with nothing;
 null ids take part but are never the smallest id (a component of null ids only has a null component_id); rows that repeat an id
@@ -48,6 +50,8 @@ from .shingles import Sketches, by_set, forget, keys, shingle_sets, sketches
 BANDS = 40
 #: Sets of a run that are compared in one block.
 BLOCK = 4096
+#: Shingles of a component's sets that are counted in one block.
+ELEMENTS = 1 << 19
 #: Pivots of a run in the first step.
 PIVOTS = 4
 #: Partners of one pivot that are verified in one group.
@@ -452,18 +456,104 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, base: str) -
     return saved(rows.select("a", "salt", "pivot", "key", "elements").mapInArrow(_verify, _PAIRS).distinct(), f"{base}/links")
 
 
+# -- number of links -------------------------------------------------------------------------------------------
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole_memo("shingles", forget)
+    for b in batches:
+        texts = text_bytes(b["text"])
+        for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
+            key, _ = keys(*shingle_sets(texts[lo:hi]))
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), b["text"].slice(lo, hi - lo)], names=["key", "text"])
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Of each set of left, which sets of right link with it."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in left])])
+    size = np.array([len(x) for x in right])
+    elements = np.concatenate(right)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], np.repeat(np.arange(len(right)), size)[order]
+    start, length = _runs_of(elements)
+    known = elements[start]
+    wanted = np.concatenate(left)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    hit = known[at] == wanted
+    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        own = at[lo:hi][hit[lo:hi]]
+        common = np.bincount(owner[_expand(start[own], length[own])], minlength=len(right))
+        yield np.flatnonzero(100 * common >= 80 * (hi - lo + size - common))
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two blocks of a component, by key: documents that each set links with in the other block (or in its own, if both are the same), its own copies left out."""
+    sole_memo("shingles", forget)
+    group, held = None, []
+
+    def count() -> pa.RecordBatch:
+        key, block, copies, sets = zip(*held, strict=True) if held else [()] * 4
+        total, weight = np.zeros(len(key), np.int64), np.array(copies, np.int64)
+        if held:
+            _, i, j = group
+            left, right = (np.flatnonzero(np.array(block) == x) for x in (i, j))
+            if len(left) and len(right):
+                for x, near in zip(left, _linked([sets[x] for x in left], [sets[x] for x in right]), strict=True):
+                    near = right[near]
+                    total[x] += weight[near[near != x]].sum()
+                    if i != j:
+                        total[near] += weight[x]
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(total)], names=["key", "links"])
+
+    for b in batches:
+        texts = text_bytes(b["text"])
+        done = []
+        label, i, j, block, key, copies = (b[c].to_pylist() for c in ("label", "i", "j", "block", "key", "copies"))
+        for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
+            sets, at = shingle_sets(texts[lo:hi])
+            for k in range(lo, hi):
+                if group != (own := (label[k], i[k], j[k])):
+                    done.append(count())
+                    group, held = own, []
+                if not held or held[-1][0] != key[k]:  # a class may be read from several rows
+                    held.append((key[k], block[k], copies[k], sets[at[k - lo] : at[k - lo + 1]].copy()))
+        if done:
+            yield pa.Table.from_batches(done).combine_chunks().to_batches()[0] if sum(map(len, done)) else done[0]
+    yield count()
+
+
+def link_counts(links: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, base: str) -> DataFrame:
+    """(key, links): with how many documents of other classes a class links. ``labels`` are the components of ``links``."""
+    members = labels.join(classes.select("key", "rep", "n", "copies"), "key")
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("elements"))
+    known = links.join(labels.select(F.col("key").alias("a"), "label"), "a").groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("elements") / ELEMENTS)).alias("blocks")
+    shapes = sizes.join(known, "label").select("label", (2 * F.col("c") == F.col("k") * (F.col("k") - 1)).alias("whole"), blocks)
+    members = saved(members.join(shapes, "label").drop("n").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))), f"{base}/parts")
+
+    both = links.select(F.col("a").alias("key"), F.col("b").alias("other")).union(links.select("b", "a"))
+    direct = both.join(members.filter("whole").select(F.col("key").alias("other"), "copies"), "other").select("key", F.col("copies").alias("links"))
+
+    part = members.filter("NOT whole")
+    grid = part.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    found = maybe_rows(docs, ["doc_id"], part.select(F.col("rep").alias("doc_id"))).select("text").mapInArrow(_keyed, "key long, text string")
+    rows = found.join(grid.select("key", "label", "i", "j", "block", "copies"), "key").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "key")
+    tallied = rows.select("label", "i", "j", "block", "key", "copies", "text").mapInArrow(_tally, "key long, links long")
+    return saved(tallied.union(direct).groupBy("key").agg(F.sum("links").alias("links")), f"{base}/counts")
+
+
 # -- the operator ----------------------------------------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame, plan: dict[int, tuple[int, int]] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text) to doc_id, n_shingles, component_id, group, links. ``group`` names the component, null for an empty set; ``links`` are the
-    verified links that the document's class keeps. Columns in ``carried`` stay. ``plan`` overrides the allocation, for tests.
+def jaccard_components(docs: DataFrame, plan: dict[int, tuple[int, int]] | None = None, carried: tuple[str, ...] = (), counted: bool = True) -> DataFrame:
+    """(doc_id, text) to doc_id, n_shingles, component_id, group, links. ``group`` names the component, null for an empty set; ``links`` is the
+    number of other documents that the document links with, which is left out if not ``counted``. Columns in ``carried`` stay. ``plan`` overrides the allocation, for tests.
     """
     spark = docs.sparkSession
     base = work_dir(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, F.col("text").cast("string").alias("text"))
     described = saved(docs.mapInArrow(_describe, with_fields(docs.drop("text"), DESCRIBED)), f"{base}/described")
-    classes = described.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.first("sketch").alias("sketch"))
+    classes = described.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
     classes = saved(classes, f"{base}/classes")
     if classes.filter("c0 <> c1").limit(1).count():
         raise ArithmeticError("two different shingle sets have one 64-bit key")
@@ -493,13 +583,17 @@ def jaccard_components(docs: DataFrame, plan: dict[int, tuple[int, int]] | None
     links = first.union(second).distinct()
     labels = components(links, f"{base}/second/components").select(F.col("node").alias("key"), "label")
 
-    ends = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
+    ends = link_counts(links, labels, docs, classes, base) if counted else None
     named = classes.select("key", "rep").join(labels, "key")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    place = saved(named.join(smallest, "label").join(ends, "key", "left").select("key", "label", "component_id", "links"), f"{base}/place")
-    by_class = classes.select("key", "rep").join(place, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("label", "key").alias("group"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    place = named.join(smallest, "label").select("key", "label", "component_id")
+    number = []
+    if counted:
+        place, number = place.join(ends, "key", "left"), [(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")]
+    place = saved(place, f"{base}/place")
+    by_class = classes.select("key", "rep", "copies").join(place, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("label", "key").alias("group"), *number)
     result = described.select("doc_id", *carried, "n", "key").join(by_class, "key", "left")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group", F.coalesce("links", F.lit(0).cast("long")).alias("links"), *carried)
+    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group", *([F.coalesce("links", F.lit(0).cast("long")).alias("links")] if counted else []), *carried)
 
 
 def _measure(described: DataFrame, classes: DataFrame) -> dict[int, tuple[int, float, float]]:
@@ -523,7 +617,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded(spark)
     base = work_dir(spark, "near-stage")
     placed = located(docs)
-    found = saved(jaccard_components(placed.select("doc_id", "text", *PLACE), carried=tuple(PLACE)), f"{base}/components").filter("`group` IS NOT NULL")
+    found = saved(jaccard_components(placed.select("doc_id", "text", *PLACE), carried=tuple(PLACE), counted=False), f"{base}/components").filter("`group` IS NOT NULL")
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *PLACE)).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     dropped = found.join(first, "group").filter(F.struct(*PLACE) != F.struct(*(F.col(f"first.{c}") for c in PLACE))).select(*PLACE)
     return without(placed, PLACE, saved(dropped, f"{base}/dropped")).select(*docs.columns)

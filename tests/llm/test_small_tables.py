@@ -209,6 +209,22 @@ def test_jaccard_hot_signatures_bypass_their_bucket(table, monkeypatch):
     assert got == brute_components(data) and len({r[2] for r in got}) == 1
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_jaccard_links_are_all_counted(table, block, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    word = [f"b{i}" for i in range(120)]
+    group = [(2000 + i, " ".join([*word[:60], f"x{i}", *word[60:]])) for i in range(30)]
+    data = near_copies(250, 6) + group + group[:3] + [(r[0] + 1000 if r[0] is not None else None, r[1]) for r in ROWS] + [(None, group[0][1])]
+    sets = [shingles(t) for _, t in data]
+    links = [0] * len(data)
+    for i, j in itertools.combinations(range(len(data)), 2):
+        common = len(sets[i] & sets[j])
+        if common and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+            links[i], links[j] = links[i] + 1, links[j] + 1
+    got = Counter(rows(jaccard_join.jaccard_components(table([(i, t, "", "", 0) for i, t in data])).select("doc_id", "n_shingles", "links")))
+    assert got == Counter((d, len(x), n) for (d, _), x, n in zip(data, sets, links, strict=True)) and max(links) == 33
+
+
 def test_every_linked_pair_shares_a_signature():
     rng = np.random.default_rng(8)
     found = 0
