@@ -20,3 +20,22 @@ def test_entry(spark):
     out = e.entry(spark)
     assert out.columns == ["doc_id", "page_no", "text", "error"]
     assert out.filter("error IS NOT NULL").count() == 0 and out.count() >= 200
+
+
+def test_page_labels_go_on_beyond_z(spark, tmp_path):
+    """One customer with more pages than letters; the numbering is bijective base 26."""
+    spark.range(800).selectExpr("id AS o_orderkey", "if(id < 760, 1L, id) AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+
+    def letters(n):
+        out = ""
+        while n:
+            n, k = divmod(n - 1, 26)
+            out = chr(65 + k) + out
+        return out
+
+    def label(page):
+        return ["i", "ii", "iii"][page] if page < 3 else f"p-{page - 2}" if page < 7 else letters(page - 6)
+
+    got = {r["o_orderkey"]: r["label"] for r in plans.page_labels(spark, str(tmp_path)).collect()}
+    assert got == {i: label(i if i < 760 else 0) for i in range(800)}
+    assert (got[32], got[33], got[34], got[709]) == ("Z", "AA", "AB", "AAA")
