@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,14 +56,32 @@ def inherit(tree: DataFrame, key: str, parent: str, attr: str) -> DataFrame:
     )
 
 
+def _to_the_end(step: DataFrame, merged: dict[str, Column]) -> DataFrame:
+    """Follow ``at`` of (id, at, ...) rows until it is null. Path doubling: each round joins the rows that still have an ``at`` with the rows it names and
+    takes ``merged`` from both (theirs are called ``far_``...), and is written to the shared folder, so a path of n links takes about log2(n) rounds. Rows that lead nowhere or into a cycle have no end and are left out.
+    """
+    spark = step.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkwell-")
+    base = f"{shared.rstrip('/')}/chains-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, k: int) -> DataFrame:
+        df.write.parquet(f"{base}/{k}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{k}")
+
+    step = written(step, 0)
+    rows, k = step.count(), 0
+    while 2**k < rows and step.filter("at IS NOT NULL").limit(1).count():  # a path without a cycle has fewer links than there are rows
+        far = step.select(F.col("id").alias("at"), F.col("at").alias("far_at"), *(F.col(c).alias(f"far_{c}") for c in merged))
+        hop = step.filter("at IS NOT NULL").join(far, "at").select("id", F.col("far_at").alias("at"), *(c.alias(n) for n, c in merged.items()))
+        k += 1
+        step = written(step.filter("at IS NULL").unionByName(hop), k)
+    return step.filter("at IS NULL").drop("at")
+
+
 def resolve_chains(refs: DataFrame, key: str, target: str) -> DataFrame:
-    """(key, resolved): the end of each chain of references; a cycle has no end and gives no row. Path doubling: as many joins as the longest chain has bits."""
-    step = refs.select(F.col(key).alias("id"), F.coalesce(target, key).alias("at"))
-    ends = refs.filter(F.col(target).isNull()).select(F.col(key).alias("end"))
-    for _ in range(8):
-        hop = step.select(F.col("id").alias("at"), F.col("at").alias("far"))
-        step = step.join(hop, "at").select("id", F.col("far").alias("at"))
-    return step.join(ends, step["at"] == ends["end"]).select("id", F.col("at").alias("resolved"))
+    """(key, resolved): the end of each chain of references, however long; a cycle has no end and gives no row. Path doubling: as many joins as the longest chain has bits."""
+    step = refs.select(F.col(key).alias("id"), F.col(target).alias("at"), F.coalesce(target, key).alias("resolved"))
+    return _to_the_end(step, {"resolved": F.col("far_resolved")})
 
 
 def label_pages(pages: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import pytest
 
+from inkwell.operators import tables as R
 from inkwell.plans import queries as plans
 
 from .conftest import SF, same_rows
@@ -39,3 +40,11 @@ def test_page_labels_go_on_beyond_z(spark, tmp_path):
     got = {r["o_orderkey"]: r["label"] for r in plans.page_labels(spark, str(tmp_path)).collect()}
     assert got == {i: label(i if i < 760 else 0) for i in range(800)}
     assert (got[32], got[33], got[34], got[709]) == ("Z", "AA", "AB", "AAA")
+
+
+def test_long_chains_are_resolved(spark):
+    """A chain of 700 references, a cycle, what leads into it, a reference to itself and one to nothing."""
+    refs = [(i, i - 1 if i else None) for i in range(701)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000), (1004, 1004), (1005, 9999), (1006, 1005), (1007, None)]
+    got = R.resolve_chains(spark.createDataFrame(refs, "id long, target long"), "id", "target")
+    assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(701)] + [(1007, 1007)]
+    assert R.resolve_chains(spark.createDataFrame([], "id long, target long"), "id", "target").count() == 0
