@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import geometry as G
 
-#: Levels of a tree and links of a chain before a cycle is assumed.
-DEEPEST = 200
-
 
 def split_by(df: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
     """Rows that pass, and all others (null included)."""
@@ -44,18 +41,6 @@ def last_setting(df: DataFrame, keys: list[str], order: str, value: str) -> Data
     return df.withColumn(value, F.last(value, ignorenulls=True).over(w))
 
 
-def inherit(tree: DataFrame, key: str, parent: str, attr: str) -> DataFrame:
-    """(key, depth, attr) of all nodes below the roots; a null attribute comes from above. Recursion of Spark SQL."""
-    spark = tree.sparkSession
-    tree.select(F.col(key).alias("id"), F.col(parent).alias("parent"), F.col(attr).alias("attr")).createOrReplaceTempView("inkwell_tree")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(id, attr, depth) MAX RECURSION LEVEL {DEEPEST} AS (
-          SELECT id, attr, CAST(0 AS BIGINT) FROM inkwell_tree WHERE parent IS NULL
-          UNION ALL SELECT t.id, coalesce(t.attr, w.attr), w.depth + 1 FROM inkwell_tree t JOIN walk w ON t.parent = w.id
-        ) SELECT id, depth, attr FROM walk"""
-    )
-
-
 def _to_the_end(step: DataFrame, merged: dict[str, Column]) -> DataFrame:
     """Follow ``at`` of (id, at, ...) rows until it is null. Path doubling: each round joins the rows that still have an ``at`` with the rows it names and
     takes ``merged`` from both (theirs are called ``far_``...), and is written to the shared folder, so a path of n links takes about log2(n) rounds. Rows that lead nowhere or into a cycle have no end and are left out.
@@ -78,6 +63,13 @@ def _to_the_end(step: DataFrame, merged: dict[str, Column]) -> DataFrame:
     return step.filter("at IS NULL").drop("at")
 
 
+def inherit(tree: DataFrame, key: str, parent: str, attr: str) -> DataFrame:
+    """(id, depth, attr) of all nodes below the roots, however deep; a null attribute comes from above. A row holds the nearest attribute and the links so far of a path upwards."""
+    depth = F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long")
+    step = tree.select(F.col(key).alias("id"), F.col(parent).alias("at"), depth.alias("depth"), F.col(attr).alias("attr"))
+    return _to_the_end(step, {"depth": F.col("depth") + F.col("far_depth"), "attr": F.coalesce("attr", "far_attr")})
+
+
 def resolve_chains(refs: DataFrame, key: str, target: str) -> DataFrame:
     """(key, resolved): the end of each chain of references, however long; a cycle has no end and gives no row. Path doubling: as many joins as the longest chain has bits."""
     step = refs.select(F.col(key).alias("id"), F.col(target).alias("at"), F.coalesce(target, key).alias("resolved"))

@@ -48,3 +48,11 @@ def test_long_chains_are_resolved(spark):
     got = R.resolve_chains(spark.createDataFrame(refs, "id long, target long"), "id", "target")
     assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(701)] + [(1007, 1007)]
     assert R.resolve_chains(spark.createDataFrame([], "id long, target long"), "id", "target").count() == 0
+
+
+def test_deep_trees_inherit(spark):
+    """A path of 600 levels with an attribute at every seventh, a cycle, and a node below a missing one."""
+    nodes = [(i, i - 1 if i else None, f"a{i}" if i % 7 == 0 and i else None) for i in range(601)] + [(1000, 1001, "x"), (1001, 1000, None), (1002, 9999, "y"), (1003, 1002, None), (1004, 300, None)]
+    got = R.inherit(spark.createDataFrame(nodes, "id long, parent long, attr string"), "id", "parent", "attr")
+    above = {i: f"a{i - i % 7}" if i >= 7 else None for i in range(601)}
+    assert sorted(map(tuple, got.collect())) == [(i, i, above[i]) for i in range(601)] + [(1004, 301, above[300])]
