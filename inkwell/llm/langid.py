@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts hashed n-grams (lengths 1 to 3 of the lower-cased text, digits and signs taken as one blank) over a
-bounded sample of labelled rows, chosen by a hash of the text so that every part of the table has its share;
+bounded sample of labelled rows, drawn language by language by a hash of the row, so that every part of the table has its share, rare languages
+are learned and copies of one text aren't taken or left as a whole;
 the log-probability matrix (BUCKETS x languages floats, a fixed size) is broadcast; scoring is a sparse gather
 and a segmented sum in numpy over whole texts.
 
@@ -12,6 +13,7 @@ ids are kept; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from .common import bounded, load, mix, slices, sole_memo, with_fields
 U = np.uint64
 #: Hash buckets of n-grams; the matrix has this many rows at any size of input.
 BUCKETS = 1 << 16
-#: At most about so many labelled rows are learned from (a hash threshold on the text; whole texts). Documented bound.
+#: At most about so many labelled rows are learned from (a hash threshold for each language; whole texts). Documented bound.
 TRAIN_ROWS = 8_000
 #: Longest n-gram.
 ORDER = 3
@@ -71,13 +73,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], names=["lang", "bucket", "n"])
 
 
+def sample(labelled: DataFrame, rows: int) -> DataFrame:
+    """(text, lang) of about ``rows`` labelled rows at most, equally many of each language; what a rare one doesn't use is shared by the others. Rows are told apart by all their columns."""
+    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    if sum(counts.values()) > rows:
+        limits, left = [], rows
+        for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+            share = min(n, left / (len(counts) - k))
+            left -= share
+            limits += [F.lit(lang), F.lit(math.ceil(share / n * (1 << 30)))]
+        known = known.filter(F.pmod(F.xxhash64(F.lit("sample"), *labelled.columns), F.lit(1 << 30)) < F.element_at(F.create_map(*limits), F.col("lang")))
+    return known.select("text", "lang")
+
+
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages in order, float32 matrix BUCKETS x languages) from (text, lang) rows."""
-    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    total = known.select(F.count(F.lit(1))).first()[0]
-    if total > rows:
-        known = known.filter(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
-    got = known.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
+    """(languages in order, float32 matrix BUCKETS x languages) from rows with text, lang and what tells rows with one text apart, as ids."""
+    got = sample(labelled, rows).mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
     langs = sorted(got["lang"].unique())
     counts = np.zeros((BUCKETS, len(langs)))
     counts[got["bucket"].to_numpy(int), [langs.index(x) for x in got["lang"]]] = got["n"]
@@ -120,7 +132,7 @@ def held_out(id_col: str = "doc_id"):
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    model = train(docs.filter(~held_out()).select("text", "lang"))
+    model = train(docs.filter(~held_out()).select("doc_id", "text", "lang"))
     return predict(docs.select("doc_id", "text"), model, ["doc_id"]).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -131,6 +143,6 @@ LEAST_SCORE = 0.5
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, columns unchanged."""
     bounded(spark)
-    model = train(docs.filter(~held_out()).select("text", "lang"))
+    model = train(docs.filter(~held_out()).select("doc_id", "text", "lang"))
     named = ("_inkwell_lang", "_inkwell_score")
     return predict(docs, model, docs.columns, named).filter((F.col(named[0]) != UNDETERMINED) & (F.col(named[1]) >= LEAST_SCORE)).select(*docs.columns)

@@ -379,6 +379,17 @@ def test_language_id(spark, table, none):
     assert small[0] == ["de", "en"]
 
 
+def test_rare_languages_and_copies_are_sampled_alike(table):
+    rng = np.random.default_rng(9)
+    data = [(i, "one and the same text" if i % 3 else " ".join(rng.choice(["ab", "cd", "ef", "gh"], 9)), "en", "", 0) for i in range(6000)]
+    data += [(6000 + i, f"rare words {i}", "xx", "", 0) for i in range(3)]
+    docs = table(data).select("doc_id", "text", "lang")
+    assert langid.train(docs, rows=200)[0] == ["en", "xx"]
+    got = rows(langid.sample(docs, 200))
+    same = sum(t == "one and the same text" for t, _ in got)
+    assert 140 <= len(got) <= 260 and 0.5 * len(got) < same < 0.8 * len(got)
+
+
 def test_language_scores_match_a_plain_sum():
     texts = ["Ab1", "é", "x" * 50]
     grams, at = langid._grams(texts)
