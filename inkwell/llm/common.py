@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +36,45 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local temporary folder only where that setting is absent."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a temporary folder serves a local master (as in tests); a cluster must name a shared one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.conf.get("spark.inkwell.workDir", None) or tempfile.mkdtemp(prefix="inkwell-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="inkwell-")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def conf_set(spark: SparkSession, values: dict[str, str]):
+    """Session settings for a while; what was set before comes back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Once a table is written, the shuffle files that it was made of are of no more use.
+_CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def saved(df: DataFrame, path: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors and gives back the disk of its shuffles."""
+    with conf_set(df.sparkSession, _CLEAN):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Remove a work table that no later plan reads."""
+def drop_dir(spark: SparkSession, *paths: str) -> None:
+    """Remove work tables that no later plan reads."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def with_fields(df: DataFrame, more: str) -> T.StructType:

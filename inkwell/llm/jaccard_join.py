@@ -17,23 +17,26 @@ set X in a scheme, cost-based allocation gives each band one of two indexes:
 
 The second index takes about five times as many signatures of twice as many elements each. The cost of a band is its signatures
 plus the candidate pairs expected from the share of its shingles that are frequent, as those of passages are; both are measured over the
-whole table and the cheaper index is taken.
+whole table and the cheaper index is taken. Deletions pay once chance meetings in segments of frequent shingles outweigh their signatures,
+which grows with the square of a table's sets.
 
 Equal sets form a class beforehand. Sets under one signature form a run; equal runs count once. In a run, pairs are
 cleared by a sketch (parities of hash bins, which never differ in more bits than the sets in elements) before any set is looked at. First each run
-gives the pairs of a few pivots; they are verified on the whole sets, and links give components. Then runs that still hold
-several components give all pairs across components that the sketch can't clear, in blocks of BLOCK sets; these are verified too.
-So a group of near copies is joined by a number of pairs linear in its size, and no link between components is lost.
+gives the pairs of a few pivots, the sets with the smallest keys: that order is the same in every run, so the many runs of a family name the
+same pivots, and a family of near copies gives a number of pairs linear in its size. They are verified on the whole sets, and links give components. Then runs that still hold
+several components give all pairs across components that the sketch can't clear, in blocks of BLOCK sets; these are verified too, and no link between components is lost.
 Links are then counted inside the components, exactly: where all pairs of a component are verified links, from these; else its sets
 are brought together in blocks of at most about BLOCK sets and ELEMENTS shingles, and postings of shingles give what each two have in common.
 
-Links are exact up to 64-bit hashes of shingles. Defined cases: null or wordless text has an empty set and links with nothing;
+Links are exact up to 64-bit hashes of shingles. A class goes by a 64-bit key; different sets with one key are told apart by a second
+digest and get keys of their own. Defined cases: null or wordless text has an empty set and links with nothing;
 null ids take part but are never the smallest id (a component of null ids only has a null component_id); rows that repeat an id
 are linked as any other rows; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, bounded, buffers, load, maybe_rows, mix, saved, slices, sole_memo, text_bytes, with_fields, without, work_dir
+from .common import U, bounded, drop_dir, load, maybe_rows, mix, saved, slices, sole_memo, text_bytes, with_fields, without, work_dir
 from .components import components
 from .exact_dedup import PLACE, located
 from .shingles import Sketches, by_set, forget, keys, shingle_sets, sketches
@@ -62,6 +65,8 @@ HOT = 256
 STEP_BYTES = 2 << 20
 #: Signatures that a task gathers before it hands them out.
 CHUNK = 1_000_000
+#: Signatures that meet in one task, about, and buckets that it takes.
+MEETING, TASK_BUCKETS = 2_000_000, 4
 #: One in so many shingles is counted over the whole table to measure how many are shared.
 PROBE = 1024
 #: A shingle is frequent if at least this share of all sets has it: a passage of the whole corpus, not of a family of copies.
@@ -77,23 +82,48 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: digests of its set, size, sketch, and the probe shingles."""
-    sole_memo("shingles", forget)
-    for b in batches:
-        texts = text_bytes(b["text"])
-        for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
-            sets, at = shingle_sets(texts[lo:hi])
-            n = np.diff(at)
-            key, check = keys(sets, at)
-            probe = sets % U(PROBE) == 0
-            probe_at = np.concatenate([[0], np.cumsum(probe)])[at].astype(np.int32)
-            sk = sketches(sets, at)
-            rest = [c for c in b.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(b[c].slice(lo, hi - lo) for c in rest), pa.array(_signed(key), mask=n == 0), pa.array(_signed(check)), pa.array(n), pa.array(sk, pa.binary()), pa.ListArray.from_arrays(pa.array(probe_at), pa.array(_signed(sets[probe])))],
-                names=[*rest, "key", "check", "n", "sketch", "probe"],
-            )
+class Names:
+    """Keys of sets. ``moved`` names those sets, by key and check, whose key another set has too; ``bits`` is weakened by tests to force that."""
+
+    def __init__(self, bits: int = 64, moved: dict[tuple[int, int], int] | None = None):
+        self.mask, self.moved = U(2**bits - 1), moved or {}
+
+    def of(self, sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, check = keys(sets, at)
+        key &= self.mask
+        if self.moved:
+            both = zip(key.tolist(), check.tolist(), strict=True)
+            key = np.array([self.moved.get(x, x[0]) for x in both], U)
+        return key, check
+
+    def apart(self, shared: list[tuple[int, int]]) -> Names:
+        """``shared``: (key, check) of all sets whose key isn't theirs alone. The first of each key keeps it; the others go by their check."""
+        first: dict[int, int] = {}
+        for key, check in sorted(shared):
+            first.setdefault(key, check)
+        return Names(int(self.mask).bit_length(), {(k, c): int(mix(np.array([c], U) + U(len(shared)))[0]) for k, c in shared if first[k] != c})
+
+
+def _describe(names: Names):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per document: digests of its set, size, sketch, and the probe shingles."""
+        sole_memo("shingles", forget)
+        for b in batches:
+            texts = text_bytes(b["text"])
+            for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
+                sets, at = shingle_sets(texts[lo:hi])
+                n = np.diff(at)
+                key, check = names.of(sets, at)
+                probe = sets % U(PROBE) == 0
+                probe_at = np.concatenate([[0], np.cumsum(probe)])[at].astype(np.int32)
+                sk = sketches(sets, at)
+                rest = [c for c in b.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays(
+                    [*(b[c].slice(lo, hi - lo) for c in rest), pa.array(_signed(key), mask=n == 0), pa.array(_signed(check)), pa.array(n), pa.array(sk, pa.binary()), pa.ListArray.from_arrays(pa.array(probe_at), pa.array(_signed(sets[probe])))],
+                    names=[*rest, "key", "check", "n", "sketch", "probe"],
+                )
+
+    return run
 
 
 # -- allocation ------------------------------------------------------------------------------------------------
@@ -194,7 +224,11 @@ def _expand(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))
 
 
-def _emitter(plan: dict[int, tuple[int, int]], buckets: int):
+#: Bytes of a signature within its bucket. Equal ones stay equal; unequal ones that become so only make runs longer.
+SHORT = 5
+
+
+def _emitter(plan: dict[int, tuple[int, int]], buckets: int, names: Names):
     """Signatures of a task's sets, handed out by bucket as packed arrays (p >= 0); those that are frequent within a chunk go as rows of their own (p < 0), and one flagged signature to the bucket."""
 
     def flush(sig: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -206,7 +240,7 @@ def _emitter(plan: dict[int, tuple[int, int]], buckets: int):
             rows = _expand(start[hot], length[hot])
             for i in range(0, len(rows), 1 << 18):
                 r = rows[i : i + (1 << 18)]
-                yield _packed([-1 - int(sig[r[0]] >> U(33)) % buckets], [sig[r]], [key[r]])
+                yield _packed([-1 - int(sig[r[0]] >> U(1)) % buckets], [_cut_off(sig[r])], [key[r]])
             flagged = start[hot]
             cold = np.ones(len(sig), bool)
             cold[rows] = False
@@ -217,7 +251,7 @@ def _emitter(plan: dict[int, tuple[int, int]], buckets: int):
         start, length = _runs_of(p)
         for i in range(0, len(start), 64):  # a few MB a batch
             part = list(zip(start[i : i + 64].tolist(), length[i : i + 64].tolist(), strict=True))
-            yield _packed([int(p[s]) for s, _ in part], [sig[s : s + n] for s, n in part], [key[s : s + n] for s, n in part])
+            yield _packed([int(p[s]) for s, _ in part], [_cut_off(sig[s : s + n]) for s, n in part], [key[s : s + n] for s, n in part])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole_memo("shingles", forget)
@@ -228,7 +262,7 @@ def _emitter(plan: dict[int, tuple[int, int]], buckets: int):
             texts = text_bytes(b["text"])
             for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
                 sets, at = shingle_sets(texts[lo:hi])
-                key, _ = keys(sets, at)
+                key, _ = names.of(sets, at)
                 new = np.zeros(len(key), bool)
                 for i, k in enumerate(key.tolist()):
                     if k not in seen:
@@ -251,6 +285,18 @@ def _emitter(plan: dict[int, tuple[int, int]], buckets: int):
 _PACKED = "p long, sigs binary, keys binary"
 
 
+def _cut_off(sig: np.ndarray) -> np.ndarray:
+    """The lowest SHORT bytes of signatures, with the flag."""
+    return np.ascontiguousarray(sig).view(np.uint8).reshape(-1, 8)[:, :SHORT]
+
+
+def _filled_up(raw: bytes, bucket: int) -> np.ndarray:
+    """Signatures of a bucket, told apart from those of other buckets."""
+    wide = np.zeros((len(raw) // SHORT, 8), np.uint8)
+    wide[:, :SHORT] = np.frombuffer(raw, np.uint8).reshape(-1, SHORT)
+    return wide.view(U)[:, 0] + (U(bucket) << U(8 * SHORT))
+
+
 def _packed(p: list[int], sigs: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary())], names=["p", "sigs", "keys"])
 
@@ -265,7 +311,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sigs, ks = [], []
     for b in batches:
         for p, s, k in zip(b["p"].to_pylist(), b["sigs"].to_pylist(), b["keys"].to_pylist(), strict=True):
-            s, k = np.frombuffer(s, U), np.frombuffer(k, U)
+            s, k = _filled_up(s, p if p >= 0 else -1 - p), np.frombuffer(k, U)
             if p < 0:
                 yield _members(s, k)
             else:
@@ -367,17 +413,16 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A few pivots of each run with all that may link with them."""
+    """Pivots of each run, the sets with the smallest keys, with all that may link with them. Rows come in order of their keys."""
     for table, starts, lengths in _grouped(batches, ["run", "block"]):
         key, n, sk = table["key"].to_numpy(), table["n"].to_numpy(), Sketches(table["sketch"].to_pylist())
         a, b = [], []
         for s, length in zip(starts.tolist(), lengths.tolist(), strict=True):
             left = np.arange(s, s + length)
-            left = left[np.argsort(n[left], kind="stable")]
             for _ in range(PIVOTS):
                 if len(left) < 2:
                     break
-                i, left = int(left[len(left) // 2]), np.delete(left, len(left) // 2)
+                i, left = int(left[0]), left[1:]
                 near = _near(sk, n, i, left)
                 a.append(np.full(len(near), key[i]))
                 b.append(key[near])
@@ -386,88 +431,90 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a block whose sets are in different components and that the sketch can't clear; of the runs that two sets share, the smallest gives the pair."""
+    """All pairs of a block whose sets are in different components and that the sketch can't clear."""
     for table, starts, lengths in _grouped(batches, ["run", "i", "j"]):
         key, n, sk, label = table["key"].to_numpy(), table["n"].to_numpy(), Sketches(table["sketch"].to_pylist()), table["label"].to_numpy()
-        block, i_, j_, run = (table[c].to_numpy() for c in ("block", "i", "j", "run"))
-        lists = table["mine"].combine_chunks()
-        held, held_at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        mine: dict[int, frozenset] = {}
-
-        def runs_of(x: int) -> frozenset:
-            if x not in mine:
-                mine[x] = frozenset(held[held_at[x] : held_at[x + 1]].tolist())
-            return mine[x]
-
+        block, i_, j_ = (table[c].to_numpy() for c in ("block", "i", "j"))
         a, b = [], []
         for s, length in zip(starts.tolist(), lengths.tolist(), strict=True):
             rows = np.arange(s, s + length)
             within = i_[s] == j_[s]
             left, right = (rows, rows) if within else (rows[block[rows] == i_[s]], rows[block[rows] == j_[s]])
             for x, y in _uncleared(sk, n, left, right, lambda p, q, within=within: (label[p] != label[q]) & ((key[p] < key[q]) | (not within))):
-                mine_too = [z for z in range(len(x)) if min(runs_of(int(x[z])) & runs_of(int(y[z]))) == run[s]]
-                a.append(key[x[mine_too]])
-                b.append(key[y[mine_too]])
+                a.append(key[x])
+                b.append(key[y])
         yield _pairs(a, b)
 
 
 # -- verification ----------------------------------------------------------------------------------------------
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sole_memo("shingles", forget)
-    for b in batches:
-        texts = text_bytes(b["text"])
-        for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
-            sets, at = shingle_sets(texts[lo:hi])
-            key, _ = keys(sets, at)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array([sets[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["key", "elements"])
+def _keyed(names: Names):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts by key, compressed for the shuffle."""
+        sole_memo("shingles", forget)
+        codec = pa.Codec("zstd", 1)
+        for b in batches:
+            texts = text_bytes(b["text"])
+            for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
+                key, _ = names.of(*shingle_sets(texts[lo:hi]))
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), b["doc_id"].slice(lo, hi - lo), pa.array(map(len, texts[lo:hi]), pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in texts[lo:hi]], pa.binary())], names=["key", "found", "bytes", "packed"])
+
+    return run
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end, shingles, offsets) of some rows at a time."""
+    codec = pa.Codec("zstd", 1)
+    size, packed = batch["bytes"].to_numpy(), batch["packed"]
+    for lo, hi in slices(size, STEP_BYTES):
+        yield lo, hi, *shingle_sets([codec.decompress(packed[k].as_buffer(), int(size[k]), asbytes=True) for k in range(lo, hi)])
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, names: Names) -> DataFrame:
+    """Rows of ``wanted`` (with key and rep) with the text of the class's representative, compressed."""
+    found = maybe_rows(docs, ["doc_id"], wanted.select(F.col("rep").alias("doc_id"))).select("doc_id", "text").mapInArrow(_keyed(names), "key long, found long, bytes long, packed binary")
+    return found.join(wanted, (found["key"] == wanted["key"]) & found["found"].eqNullSafe(wanted["rep"])).drop(found["key"]).drop("found", "rep")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a pivot's group, its own set first: pairs of the pivot and each other set that link."""
+    sole_memo("shingles", forget)
     group, pivot = None, np.zeros(0, U)
     for batch in batches:
         a, b = [], []
-        data, ends = buffers(batch["elements"])
-        for at, salt, first, key, lo, hi in zip(batch["a"].to_pylist(), batch["salt"].to_pylist(), batch["pivot"].to_pylist(), batch["key"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            elements = data[lo:hi].view(U)
-            if first:
-                group, pivot = (at, salt), elements.copy()
-            elif group == (at, salt):
-                both = np.concatenate([pivot, elements])
-                both.sort(kind="stable")  # merges two sorted runs
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= 80 * (len(both) - common):
-                    a.append(at)
-                    b.append(key)
+        at, salt, first, key = (batch[c].to_pylist() for c in ("a", "salt", "pivot", "key"))
+        for lo, hi, sets, place in _unpacked(batch):
+            for k in range(lo, hi):
+                elements = sets[place[k - lo] : place[k - lo + 1]]
+                if first[k]:
+                    group, pivot = (at[k], salt[k]), elements.copy()
+                elif group == (at[k], salt[k]):
+                    both = np.concatenate([pivot, elements])
+                    both.sort(kind="stable")  # merges two sorted runs
+                    common = int((both[1:] == both[:-1]).sum())
+                    if 100 * common >= 80 * (len(both) - common):
+                        a.append(at[k])
+                        b.append(key[k])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, base: str) -> DataFrame:
-    """Pairs of keys whose sets link. Sets are read again from the documents and go to the groups of their pivots; a pivot with many partners has several groups."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, base: str, names: Names) -> DataFrame:
+    """Pairs of keys whose sets link. Texts are read again and go to the groups of their pivots; a pivot with many partners has several groups."""
     groups = F.ceil(F.col("c") / FAN)
     salted = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), groups))
     pivots = salted.select(F.col("a").alias("key"), "a", "salt", F.lit(True).alias("pivot")).distinct()
-    places = saved(salted.select(F.col("b").alias("key"), "a", "salt", F.lit(False).alias("pivot")).union(pivots), f"{base}/places")
-    reps = saved(classes.join(places.select("key").distinct(), "key").select(F.col("rep").alias("doc_id")), f"{base}/wanted")
-    found = maybe_rows(docs, ["doc_id"], reps).select("text").mapInArrow(_sets, "key long, elements binary")
-    rows = found.join(places, "key").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("pivot"))
-    return saved(rows.select("a", "salt", "pivot", "key", "elements").mapInArrow(_verify, _PAIRS).distinct(), f"{base}/links")
+    places = salted.select(F.col("b").alias("key"), "a", "salt", F.lit(False).alias("pivot")).union(pivots)
+    places = saved(places.join(classes.select("key", "rep"), "key"), f"{base}/places")
+    rows = texts_of(docs, places, names).repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("pivot"))
+    links = saved(rows.select("a", "salt", "pivot", "key", "bytes", "packed").mapInArrow(_verify, _PAIRS).distinct(), f"{base}/links")
+    drop_dir(docs.sparkSession, f"{base}/places")
+    return links
 
 
 # -- number of links -------------------------------------------------------------------------------------------
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sole_memo("shingles", forget)
-    for b in batches:
-        texts = text_bytes(b["text"])
-        for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
-            key, _ = keys(*shingle_sets(texts[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), b["text"].slice(lo, hi - lo)], names=["key", "text"])
-
-
 def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
     """Of each set of left, which sets of right link with it."""
     ends = np.concatenate([[0], np.cumsum([len(x) for x in left])])
@@ -506,11 +553,9 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(total)], names=["key", "links"])
 
     for b in batches:
-        texts = text_bytes(b["text"])
         done = []
         label, i, j, block, key, copies = (b[c].to_pylist() for c in ("label", "i", "j", "block", "key", "copies"))
-        for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), STEP_BYTES):
-            sets, at = shingle_sets(texts[lo:hi])
+        for lo, hi, sets, at in _unpacked(b):
             for k in range(lo, hi):
                 if group != (own := (label[k], i[k], j[k])):
                     done.append(count())
@@ -522,7 +567,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield count()
 
 
-def link_counts(links: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, base: str) -> DataFrame:
+def link_counts(links: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, base: str, names: Names) -> DataFrame:
     """(key, links): with how many documents of other classes a class links. ``labels`` are the components of ``links``."""
     members = labels.join(classes.select("key", "rep", "n", "copies"), "key")
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("elements"))
@@ -536,54 +581,75 @@ def link_counts(links: DataFrame, labels: DataFrame, docs: DataFrame, classes: D
 
     part = members.filter("NOT whole")
     grid = part.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    found = maybe_rows(docs, ["doc_id"], part.select(F.col("rep").alias("doc_id"))).select("text").mapInArrow(_keyed, "key long, text string")
-    rows = found.join(grid.select("key", "label", "i", "j", "block", "copies"), "key").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "key")
-    tallied = rows.select("label", "i", "j", "block", "key", "copies", "text").mapInArrow(_tally, "key long, links long")
+    rows = texts_of(docs, grid.select("key", "rep", "label", "i", "j", "block", "copies"), names).repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "key")
+    tallied = rows.select("label", "i", "j", "block", "key", "copies", "bytes", "packed").mapInArrow(_tally, "key long, links long")
     return saved(tallied.union(direct).groupBy("key").agg(F.sum("links").alias("links")), f"{base}/counts")
 
 
 # -- the operator ----------------------------------------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame, plan: dict[int, tuple[int, int]] | None = None, carried: tuple[str, ...] = (), counted: bool = True) -> DataFrame:
+def _classes(described: DataFrame) -> DataFrame:
+    of = (F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    return described.filter("key IS NOT NULL").groupBy("key").agg(*of)
+
+
+def _meeting(docs: DataFrame, plan: dict[int, tuple[int, int]], names: Names, signatures: float, base: str) -> DataFrame:
+    """(run, key, block, blocks): sets that have a signature in common. There are as many buckets as the signatures need."""
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(signatures / MEETING))
+    packed = docs.select("text").mapInArrow(_emitter(plan, tasks * TASK_BUCKETS, names), _PACKED)
+    met = packed.repartition(tasks, "p").mapInArrow(_meet, "run long, key long")
+    runs = saved(met.distinct(), f"{base}/runs")
+    runs = runs.join(runs.groupBy("run").agg(F.count(F.lit(1)).alias("k")), "run").filter("k > 1")
+    runs = saved(runs.withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).drop("k"), f"{base}/members")
+    drop_dir(docs.sparkSession, f"{base}/runs")
+    return runs
+
+
+def jaccard_components(docs: DataFrame, plan: dict[int, tuple[int, int]] | None = None, carried: tuple[str, ...] = (), counted: bool = True, key_bits: int = 64) -> DataFrame:
     """(doc_id, text) to doc_id, n_shingles, component_id, group, links. ``group`` names the component, null for an empty set; ``links`` is the
-    number of other documents that the document links with, which is left out if not ``counted``. Columns in ``carried`` stay. ``plan`` overrides the allocation, for tests.
+    number of other documents that the document links with, which is left out if not ``counted``. Columns in ``carried`` stay. ``plan`` overrides the allocation and ``key_bits`` the length of keys, for tests.
     """
     spark = docs.sparkSession
     base = work_dir(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, F.col("text").cast("string").alias("text"))
-    described = saved(docs.mapInArrow(_describe, with_fields(docs.drop("text"), DESCRIBED)), f"{base}/described")
-    classes = described.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
-    classes = saved(classes, f"{base}/classes")
-    if classes.filter("c0 <> c1").limit(1).count():
-        raise ArithmeticError("two different shingle sets have one 64-bit key")
+    names = Names(key_bits)
+    described = saved(docs.mapInArrow(_describe(names), with_fields(docs.drop("text"), DESCRIBED)), f"{base}/described")
+    classes = saved(_classes(described), f"{base}/classes")
+    if (clash := classes.filter("c0 <> c1").select("key")).limit(1).count():
+        # different sets with one 64-bit key: three expected among 10^10 sets
+        unsigned = [(r["key"] % 2**64, r["check"] % 2**64) for r in described.join(F.broadcast(clash), "key").select("key", "check").distinct().collect()]
+        names = names.apart(unsigned)
+        described = saved(docs.mapInArrow(_describe(names), with_fields(docs.drop("text"), DESCRIBED)), f"{base}/described-again")
+        classes = saved(_classes(described), f"{base}/classes-again")
+        if classes.filter("c0 <> c1").limit(1).count():
+            raise ArithmeticError("two different shingle sets have both digests in common")
+    measured = _measure(described, classes)
     if plan is None:
-        plan = allocate(_measure(described, classes))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.select("text").mapInArrow(_emitter(plan, buckets), _PACKED)
-    met = packed.repartition(buckets // 4, "p").mapInArrow(_meet, "run long, key long")
-    runs = saved(met.distinct(), f"{base}/runs")
-    runs = runs.join(runs.groupBy("run").agg(F.count(F.lit(1)).alias("k")), "run").filter("k > 1")
-    runs = saved(runs.withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).drop("k"), f"{base}/members")
+        plan = allocate(measured)
+    runs = _meeting(docs, plan, names, signature_count(described, plan), base)
     shapes = classes.select("key", "n", "sketch")
 
-    stars = runs.join(shapes, "key").repartition("run", "block").sortWithinPartitions("run", "block", "key").select("run", "block", "key", "n", "sketch").mapInArrow(_pivots, _PAIRS)
-    first = verified(saved(stars.distinct(), f"{base}/stars"), docs, classes, f"{base}/first")
+    # a run in several blocks has its smallest key in each, so that one pivot serves all
+    least = runs.filter("blocks > 1").groupBy("run").agg(F.min("key").alias("key"), F.first("blocks").alias("blocks"))
+    guests = least.select("run", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    dealt = runs.select("run", "key", "block").union(guests).distinct()
+    stars = dealt.join(shapes, "key").repartition("run", "block").sortWithinPartitions("run", "block", "key").select("run", "block", "key", "n", "sketch").mapInArrow(_pivots, _PAIRS)
+    first = verified(saved(stars.distinct(), f"{base}/stars"), docs, classes, f"{base}/first", names)
     labels = components(first, f"{base}/first/components").select(F.col("node").alias("key"), "label")
 
     # sketches join last, so that only one exchange carries them
     labelled = runs.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = labelled.groupBy("run").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("run")
     open_ = saved(labelled.join(mixed, "run", "left_semi"), f"{base}/open")
-    mine = open_.groupBy("key").agg(F.collect_list("run").alias("mine"))  # at most a set's signatures
+    drop_dir(spark, f"{base}/members", f"{base}/stars")
     grid = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    wide = grid.join(mine.join(shapes, "key"), "key")
-    across = wide.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "key").select("run", "i", "j", "block", "key", "n", "sketch", "label", "mine").mapInArrow(_across, _PAIRS)
-    second = verified(saved(across.distinct(), f"{base}/across"), docs, classes, f"{base}/second")
+    across = grid.join(shapes, "key").repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "key").select("run", "i", "j", "block", "key", "n", "sketch", "label").mapInArrow(_across, _PAIRS)
+    second = verified(saved(across.distinct(), f"{base}/across"), docs, classes, f"{base}/second", names)
     links = first.union(second).distinct()
     labels = components(links, f"{base}/second/components").select(F.col("node").alias("key"), "label")
 
-    ends = link_counts(links, labels, docs, classes, base) if counted else None
+    ends = link_counts(links, labels, docs, classes, base, names) if counted else None
     named = classes.select("key", "rep").join(labels, "key")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     place = named.join(smallest, "label").select("key", "label", "component_id")
@@ -591,11 +657,19 @@ def jaccard_components(docs: DataFrame, plan: dict[int, tuple[int, int]] | None
     if counted:
         place, number = place.join(ends, "key", "left"), [(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")]
     place = saved(place, f"{base}/place")
+    drop_dir(spark, *(f"{base}/{x}" for x in ("open", "across", "first", "second", "parts", "counts")))
     by_class = classes.select("key", "rep", "copies").join(place, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("label", "key").alias("group"), *number)
     result = described.select("doc_id", *carried, "n", "key").join(by_class, "key", "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group", *([F.coalesce("links", F.lit(0).cast("long")).alias("links")] if counted else []), *carried)
 
 
+def signature_count(described: DataFrame, plan: dict[int, tuple[int, int]]) -> float:
+    """Signatures of all rows under the plan, at most about: each set in its own scheme and in the one below."""
+    band = F.floor(F.log2(F.col("n") + 0.5)).cast("int").alias("band")
+    of_band = described.filter("n > 0").groupBy(band).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements")).collect()  # at most BANDS rows
+    return sum(2 * (r["rows"] + (r["elements"] + r["rows"] if plan.get(r["band"], (0, 0))[1] else r["elements"] / 4)) for r in of_band)
+
+
 def _measure(described: DataFrame, classes: DataFrame) -> dict[int, tuple[int, float, float]]:
     """{band: (sets, mean size, share of frequent shingles)}, at most BANDS rows."""
     band = F.floor(F.log2(F.col("n") + 0.5)).cast("int").alias("band")
@@ -620,4 +694,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = saved(jaccard_components(placed.select("doc_id", "text", *PLACE), carried=tuple(PLACE), counted=False), f"{base}/components").filter("`group` IS NOT NULL")
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *PLACE)).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     dropped = found.join(first, "group").filter(F.struct(*PLACE) != F.struct(*(F.col(f"first.{c}") for c in PLACE))).select(*PLACE)
-    return without(placed, PLACE, saved(dropped, f"{base}/dropped")).select(*docs.columns)
+    dropped = saved(dropped, f"{base}/dropped")
+    drop_dir(spark, f"{base}/components")
+    return without(placed, PLACE, dropped).select(*docs.columns)

@@ -186,21 +186,48 @@ def near_copies(n, seed):
     return [(int(order[i]), " ".join(w)) for i, w in enumerate(out)]
 
 
-@pytest.mark.parametrize("how", ["measured", "subsets", "deletions"])
+@pytest.mark.parametrize("how", ["measured", "subsets", "deletions", "colliding keys"])
 def test_jaccard_components(spark, table, how, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     data = near_copies(400, 5) + [(r[0] + 1000 if r[0] is not None else None, r[1]) for r in ROWS]
     plan = None
-    if how != "measured":
+    if how in ("subsets", "deletions"):
         plan = {}
         for b in range(15):
             h = jaccard_join.most_different(b)
             twos = (h + 1) // 2
             plan[b] = (h + 1 + (h + 1) // 4, 0) if how == "subsets" or not twos else (twos + (h + 1) % 2, twos)
-    got = Counter(rows(jaccard_join.jaccard_components(table([(i, t, "", "", 0) for i, t in data]), plan).select("doc_id", "n_shingles", "component_id")))
+    got = Counter(rows(jaccard_join.jaccard_components(table([(i, t, "", "", 0) for i, t in data]), plan, key_bits=6 if how == "colliding keys" else 64).select("doc_id", "n_shingles", "component_id")))
     assert got == brute_components(data)
 
 
+def test_runs_of_a_family_name_the_same_pivots():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    plan = {b: ((h := jaccard_join.most_different(b)) + 1 + (h + 1) // 4, 0) for b in range(10)}
+    for family in (100, 200, 400):
+        base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(200) > 0.03], rng.integers(0, 2**63, 5, dtype=np.uint64)])) for _ in range(family)]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        key, _ = jaccard_join.keys(np.concatenate(sets), at)
+        sig, who = jaccard_join.signatures(np.concatenate(sets), at, plan)
+        raw = jaccard_join.sketches(np.concatenate(sets), at)
+        order = np.lexsort((key[who].view(np.int64), sig))
+        sig, who = sig[order], who[order]
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(sig.view(np.int64)), pa.array(np.zeros(len(sig), np.int64)), pa.array(key[who].view(np.int64)), pa.array(np.diff(at)[who]), pa.array([raw[i] for i in who], pa.binary())],
+            names=["run", "block", "key", "n", "sketch"],
+        )
+        pairs = {(r["a"], r["b"]) for out in jaccard_join._pivots(iter([batch])) for r in out.to_pylist()}
+        assert family - 1 <= len(pairs) <= 8 * family
+
+
+def test_allocation_turns_to_deletions_where_frequent_shingles_meet():
+    few, many = jaccard_join.allocate({6: (10**4, 90.0, 0.3)}), jaccard_join.allocate({6: (10**9, 90.0, 0.3)})
+    assert few[6][1] == 0 and many[6][1] > 0
+
+
 def test_jaccard_hot_signatures_bypass_their_bucket(table, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HOT", 3)
     base = [f"b{i}" for i in range(120)]
