@@ -145,28 +145,33 @@ class Memo(dict):
         return value
 
 
-#: Bits of a membership bitmap: 4 MB however many keys it holds. A fuller one only lets more rows through.
-BITMAP_BITS = 25
+#: Bits of a membership bitmap, as a power of two: 4 MB, up to 32 MB for many keys. A fuller one only lets more rows through.
+BITMAP_BITS, MOST_BITMAP_BITS = 25, 28
 
 
-def _place(keys: list[str]):
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << BITMAP_BITS)) + 1
+def bitmap_bits(keys: int) -> int:
+    """Eight bits a key within the bounds."""
+    return min(MOST_BITMAP_BITS, max(BITMAP_BITS, (8 * keys).bit_length()))
+
+
+def _place(keys: list[str], bits: int):
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << bits)) + 1
 
 
 #: Columns that are added to a caller's table for a while; no table's own columns begin like this.
 MAYBE = "_inkwell_maybe"
 
 
-def maybe_in(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+def maybe_in(df: DataFrame, keys: list[str], wanted: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
     """df with MAYBE: false only where no row of ``wanted`` has these keys. Broadcasts a bitmap of a fixed size."""
-    bits = wanted.select(_place(keys).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_inkwell_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_inkwell_bits"))
-    hashed = df.withColumn("_inkwell_h", _place(keys)).withColumn("_inkwell_bucket", F.bitmap_bucket_number("_inkwell_h")).withColumn("_inkwell_bit", F.bitmap_bit_position("_inkwell_h"))
+    bitmap = wanted.select(_place(keys, bits).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_inkwell_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_inkwell_bits"))
+    hashed = df.withColumn("_inkwell_h", _place(keys, bits)).withColumn("_inkwell_bucket", F.bitmap_bucket_number("_inkwell_h")).withColumn("_inkwell_bit", F.bitmap_bit_position("_inkwell_h"))
     hit = F.expr("coalesce((cast(conv(hex(substring(_inkwell_bits, cast(_inkwell_bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(_inkwell_bit % 8 as int)) & 1, 0) = 1")
-    return hashed.join(F.broadcast(bits), "_inkwell_bucket", "left").withColumn(MAYBE, hit).drop("_inkwell_h", "_inkwell_bucket", "_inkwell_bit", "_inkwell_bits")
+    return hashed.join(F.broadcast(bitmap), "_inkwell_bucket", "left").withColumn(MAYBE, hit).drop("_inkwell_h", "_inkwell_bucket", "_inkwell_bit", "_inkwell_bits")
 
 
-def maybe_rows(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
-    return maybe_in(df, keys, wanted).filter(MAYBE).drop(MAYBE)
+def maybe_rows(df: DataFrame, keys: list[str], wanted: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    return maybe_in(df, keys, wanted, bits).filter(MAYBE).drop(MAYBE)
 
 
 def without(df: DataFrame, keys: list[str], dropped: DataFrame) -> DataFrame:

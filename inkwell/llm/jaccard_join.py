@@ -21,8 +21,8 @@ whole table and the cheaper index is taken. Deletions pay once chance meetings i
 which grows with the square of a table's sets.
 
 Equal sets form a class beforehand. Sets under one signature form a run; equal runs count once. In a run, pairs are
-cleared by a sketch (parities of hash bins, which never differ in more bits than the sets in elements) before any set is looked at. First each run
-gives the pairs of a few pivots, the sets with the smallest keys: that order is the same in every run, so the many runs of a family name the
+cleared by a sketch (parities of hash bins, which never differ in more bits than the sets in elements) before any set is looked at. First each set
+is paired with the nearest of its run's pivots by sketch. Pivots are the sets with the smallest keys: that order is the same in every run, so the many runs of a family name the
 same pivots, and a family of near copies gives a number of pairs linear in its size. They are verified on the whole sets, and links give components. Then runs that still hold
 several components give all pairs across components that the sketch can't clear, in blocks of BLOCK sets; these are verified too, and no link between components is lost.
 Links are then counted inside the components, exactly: where all pairs of a component are verified links, from these; else its sets
@@ -56,7 +56,7 @@ BLOCK = 4096
 #: Shingles of a component's sets that are counted in one block.
 ELEMENTS = 1 << 19
 #: Pivots of a run in the first step.
-PIVOTS = 4
+PIVOTS = 16
 #: Partners of one pivot that are verified in one group.
 FAN = 2000
 #: Equal signatures in one chunk of a task from which on they bypass the bucket as rows of their own.
@@ -378,12 +378,6 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple
         yield done, start, length
 
 
-def _near(sk: Sketches, n: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
-    """Those of rest that may link with i, by size and sketch."""
-    rest = rest[4 * np.maximum(n[rest], n[i]) <= 5 * np.minimum(n[rest], n[i])]
-    return rest[9 * sk.differ(np.full(len(rest), i), rest) <= n[rest] + n[i]]
-
-
 def _uncleared(sk: Sketches, n: np.ndarray, left: np.ndarray, right: np.ndarray, allowed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of left and right that may link: of sizes near enough, allowed, and whose sketches differ in few enough bits, first a quarter of them."""
     left, right = left[np.argsort(n[left], kind="stable")], right[np.argsort(n[right], kind="stable")]
@@ -413,20 +407,26 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pivots of each run, the sets with the smallest keys, with all that may link with them. Rows come in order of their keys."""
+    """Each set of a run with that one of the run's pivots before it whose sketch is nearest, if it doesn't clear the pair. Pivots are the sets with the smallest keys; rows come in order of their keys."""
     for table, starts, lengths in _grouped(batches, ["run", "block"]):
         key, n, sk = table["key"].to_numpy(), table["n"].to_numpy(), Sketches(table["sketch"].to_pylist())
         a, b = [], []
-        for s, length in zip(starts.tolist(), lengths.tolist(), strict=True):
-            left = np.arange(s, s + length)
-            for _ in range(PIVOTS):
-                if len(left) < 2:
-                    break
-                i, left = int(left[0]), left[1:]
-                near = _near(sk, n, i, left)
-                a.append(np.full(len(near), key[i]))
-                b.append(key[near])
-                left = left[~np.isin(left, near)]
+        # rows after the first of their runs, and how far back the pivots stand
+        start, place = np.repeat(starts, lengths), _expand(np.zeros_like(lengths), lengths)
+        for lo in range(0, len(place), 1 << 14):
+            rows = np.arange(lo, min(lo + (1 << 14), len(place)))
+            hi = lo + len(rows)
+            best, near = np.full(hi - lo, np.iinfo(np.int64).max), np.full(hi - lo, -1)
+            for k in range(PIVOTS):
+                who = np.flatnonzero(place[lo:hi] > k)
+                x, y = start[lo:hi][who] + k, rows[who]
+                ok = 4 * np.maximum(n[x], n[y]) <= 5 * np.minimum(n[x], n[y])
+                who, x, y = who[ok], x[ok], y[ok]
+                differ = sk.differ(x, y)
+                better = (9 * differ <= n[x] + n[y]) & (differ < best[who])
+                best[who[better]], near[who[better]] = differ[better], x[better]
+            a.append(key[near[near >= 0]])
+            b.append(key[rows[near >= 0]])
         yield _pairs(a, b)
 
 
