@@ -3,7 +3,9 @@
 Texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]`` has become one space. A stream reads narrow
 rows (digest, id, content locator) and keeps per digest, in RocksDB state without expiry, how many rows it has
 seen, the smallest id, and the locator of that row's text. The state lives below the checkpoint folder, so that a later
-batch of documents goes on from it and the part of a lost executor is loaded again.
+batch of documents goes on from it and the part of a lost executor is loaded again. A batch's rows are written aside and renamed into the
+stream's folder when they are complete, the stream's own log takes each file once, and the batch is marked as added after the stream has committed; whatever step was
+interrupted, adding the batch again (or asking for the result) goes on from there.
 
 A digest seen more than once is a hit, and a hit is only a candidate: the whole texts of its rows are compared
 with the text behind the locator, byte by byte. Rows that differ are grouped among themselves by their full
@@ -21,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, maybe_rows, saved, without, work_dir
+from .common import conf_set, drop_dir, load, maybe_rows, saved, without, work_dir
 
 #: RocksDB keeps the state on disk; memory of all its instances in an executor together is bounded.
 STATE_CONF = {
@@ -53,28 +55,48 @@ class StreamingDedup:
         return located(docs).withColumn(LOCATOR[0], F.lit(batch))
 
     def add(self, docs: DataFrame, batch: int = 0) -> None:
-        """Take a batch of (doc_id, text) rows into the state. A batch number that was added before adds nothing."""
-        if batch in self._batches():
+        """Take a batch of (doc_id, text) rows into the state. A batch number that was added before adds nothing; one that was interrupted is completed."""
+        if batch in self._numbers("added"):
             return
+        if batch not in self._numbers("rows"):
+            self._write(docs, batch)
+        self._finish()
+
+    def _write(self, docs: DataFrame, batch: int) -> None:
         rows = self._located(docs, batch).withColumn("t", normalized(F.col("text"))).select(F.col("doc_id").cast("long").alias("doc_id"), self.digest(F.col("t")).alias("digest"), sha256(F.col("t")).alias("sha"), *LOCATOR)
-        rows.write.mode("overwrite").parquet(f"{self.base}/rows/batch-{batch}")
-        before = {k: self.spark.conf.get(k, None) for k in STATE_CONF}
-        try:
-            for k, v in STATE_CONF.items():
-                self.spark.conf.set(k, v)
+        rows.write.mode("overwrite").parquet(f"{self.base}/aside/batch-{batch}")
+        source, target = (self._path(f"{x}/batch-{batch}") for x in ("aside", "rows"))
+        files = self._files(target)
+        files.mkdirs(target.getParent())
+        if not files.rename(source, target):
+            raise OSError(f"{source} can't be renamed to {target}")
+
+    def _finish(self) -> None:
+        """Stream what is complete and not yet in the state, then mark it as added."""
+        if not (open_ := self._numbers("rows") - self._numbers("added")):
+            return
+        self._stream()
+        for batch in open_:
+            mark = self._path(f"added/batch-{batch}")
+            self._files(mark).mkdirs(mark)
+
+    def _stream(self) -> None:
+        with conf_set(self.spark, STATE_CONF):
             stream = self.spark.readStream.schema(ROWS).parquet(f"{self.base}/rows/batch-*")
             stay = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *LOCATOR)
             state = stream.groupBy("digest").agg(F.min(stay).alias("stay"), F.count(F.lit(1)).alias("n"))
             state.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{self.base}/state").trigger(availableNow=True).start().awaitTermination()
-        finally:
-            for k, v in before.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
-    def _batches(self) -> set[int]:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/rows/batch-*")
-        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-        return {int(s.getPath().getName().split("-")[1]) for s in found or ()}
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+
+    def _files(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _numbers(self, kind: str) -> set[int]:
+        """Batches whose rows are complete (``rows``) or in the state (``added``)."""
+        path = self._path(f"{kind}/batch-*")
+        return {int(s.getPath().getName().split("-")[1]) for s in self._files(path).globStatus(path) or ()}
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(ROWS).parquet(f"{self.base}/rows/batch-*")
@@ -85,6 +107,7 @@ class StreamingDedup:
 
     def result(self, batches: dict[int, DataFrame]) -> DataFrame:
         """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and its locator. ``batches``: what was added, by number."""
+        self._finish()
         seen = saved(self.rows().join(self.state(), "digest").withColumn("is_kept", F.struct(*LOCATOR) == F.struct(*(F.col(f"stay.{c}") for c in LOCATOR))), f"{self.base}/seen")
         columns = ["doc_id", F.col("stay.doc_id").alias("keep_id"), "group_size", F.col("is_kept").alias("kept"), F.col("sha").alias("text_sha256"), *LOCATOR]
         alone = seen.filter("n = 1").withColumn("group_size", F.lit(1).cast("long")).select(*columns)
@@ -102,6 +125,7 @@ class StreamingDedup:
         equal = compared.filter("same")
         sizes = equal.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
         out = alone.unionByName(equal.join(sizes, "digest").select(*columns))
+        drop_dir(self.spark, f"{self.base}/hits")
         other = compared.filter("NOT same").drop("stay", "is_kept")
         if other.limit(1).count():  # texts of one digest differ: group them by the texts themselves
             stay = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *LOCATOR)
