@@ -5,9 +5,12 @@ source, language and tokenizer version (signed: inserts add, deletes subtract, r
 is complete. A batch first finds the earlier counts of its documents and turns into signed rows
 (+1 document, +tokens for what is new, -1 document, -tokens for what it replaces); these are summed within
 tasks before they are shuffled. Its folders are named after its number and written before its mark, so a batch that was
-interrupted is written again in whole, and one that is committed is never counted twice. Totals are the sums of the committed batches.
+interrupted is written again in whole, and one that is committed is never counted twice. Batches are committed in the order of their numbers: a number
+below the last committed one that wasn't committed itself is refused. Totals are the sums of the committed batches. A commit looks up only its own documents in the earlier
+batches (a bitmap, then a join), and after every COMPACT batches the documents' latest counts are written as one table, so that looking up doesn't grow with the history.
 
-Defined cases: null text has no tokens; a null source or language is a group of its own; a batch that names a document twice counts the last
+Defined cases: null text has no tokens; a null source or language is a group of its own; each inserted row with a null id is a document of its own, which can't be named
+again, so revisions and deletes of null ids change nothing; a batch that names a document twice counts the last
 change (``seq``; then the largest operation and text); deletes of unknown documents change nothing; an insert of a known one is a revision; groups whose documents are
 all gone are left out; an empty batch is committed and changes nothing; extra columns are ignored.
 """
@@ -22,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import codec, default_ranks
-from .common import load, sole_memo, work_dir
+from .common import drop_dir, load, maybe_rows, sole_memo, work_dir
 from .packing import byte_ids, default_tokenizer
 
 COUNTED = "doc_id long, op string, seq long, source string, lang string, n_chars long, tokenizer string, tokens long"
 STATE = "doc_id long, tokenizer string, source string, lang string, n_chars long, tokens long, alive boolean, batch int"
 TOTALS = "source string, lang string, tokenizer string, docs long, tokens long, chars long, batch int"
 KEY = ["source", "lang", "tokenizer"]
+#: Batches whose counts are looked up one by one before they are written as one table.
+COMPACT = 16
 
 
 @lru_cache(1)
@@ -66,40 +71,71 @@ class TokenRollup:
     def _path(self, kind: str, batch: int) -> str:
         return f"{self.base}/{kind}/batch={batch}"
 
-    def committed(self) -> list[int]:
+    def _numbers(self, kind: str) -> list[int]:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/done/batch=*")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{kind}/batch=*")
         found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
         return sorted(int(s.getPath().getName().split("=")[1]) for s in found or ())
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [self._path(kind, b) for b in self.committed()]
+    def committed(self) -> list[int]:
+        return self._numbers("done")
+
+    def _read(self, kind: str, schema: str, batches: list[int]) -> DataFrame:
+        paths = [self._path(kind, b) for b in batches]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _latest(self) -> DataFrame:
-        """The last known counts of each document and tokenizer version."""
-        row = F.max_by(F.struct("source", "lang", "n_chars", "tokens", "alive"), "batch").alias("old")
-        return self._read("state", STATE).groupBy("doc_id", "tokenizer").agg(row).select("doc_id", "tokenizer", "old.*").filter("alive")
+    def _mark(self, kind: str, batch: int) -> None:
+        self.spark.range(0, 1, 1, 1).select(F.lit(batch).alias("batch")).write.mode("overwrite").parquet(self._path(kind, batch))
+
+    def _history(self) -> DataFrame:
+        """Counts of all documents: the last compacted table and the batches since."""
+        done = self._numbers("compacted")
+        since = [b for b in self.committed() if not done or b > done[-1]]
+        recent = self._read("state", STATE, since)
+        return self._read("latest", STATE, done[-1:]).unionByName(recent) if done else recent
+
+    def _latest(self, of: DataFrame | None = None) -> DataFrame:
+        """The last known counts of each document and tokenizer version, or of those in ``of``."""
+        key, history = ["doc_id", "tokenizer"], self._history()
+        if of is not None:
+            history = maybe_rows(history, key, of).join(of.select(*key), key, "left_semi")
+        row = F.max_by(F.struct("source", "lang", "n_chars", "tokens", "alive", "batch"), "batch").alias("old")
+        return history.groupBy(*key).agg(row).select(*key, "old.*").filter("alive")
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Apply changes (doc_id, op insert/revise/delete, seq, source, lang, text) as a batch; False if it was committed before."""
-        if batch in self.committed():
+        done = self.committed()
+        if batch in done:
             return False
+        if done and batch < done[-1]:
+            raise ValueError(f"batch {batch} comes after batch {done[-1]} was committed")
         counted = count_tokens(changes)
+        known, nameless = counted.filter("doc_id IS NOT NULL"), counted.filter("doc_id IS NULL AND op = 'insert'")
         last = F.max_by(F.struct("op", "source", "lang", "n_chars", "tokens"), F.struct("seq", "op", "tokens")).alias("new")
-        new = counted.groupBy("doc_id", "tokenizer").agg(last).select("doc_id", "tokenizer", "new.*")
+        new = known.groupBy("doc_id", "tokenizer").agg(last).select("doc_id", "tokenizer", "new.*").unionByName(nameless.drop("seq"))
         alive = F.col("op") != "delete"
         new.select("doc_id", "tokenizer", "source", "lang", "n_chars", "tokens", alive.alias("alive"), F.lit(batch).alias("batch")).write.mode("overwrite").parquet(self._path("state", batch))
         new = self.spark.read.schema(STATE).parquet(self._path("state", batch))
         plus = new.filter("alive").select(*KEY, F.lit(1).alias("docs"), "tokens", F.col("n_chars").alias("chars"))
-        minus = self._latest().join(new.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"]).select(*KEY, F.lit(-1).alias("docs"), (-F.col("tokens")).alias("tokens"), (-F.col("n_chars")).alias("chars"))
+        minus = self._latest(new.filter("doc_id IS NOT NULL")).select(*KEY, F.lit(-1).alias("docs"), (-F.col("tokens")).alias("tokens"), (-F.col("n_chars")).alias("chars"))
         signed = plus.unionByName(minus).groupBy(*KEY).agg(*(F.sum(c).cast("long").alias(c) for c in ("docs", "tokens", "chars")))
         signed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(self._path("totals", batch))
-        self.spark.range(0, 1, 1, 1).select(F.lit(batch).alias("batch")).write.mode("overwrite").parquet(self._path("done", batch))
+        self._mark("done", batch)
+        compacted = self._numbers("compacted")
+        if sum(not compacted or b > compacted[-1] for b in self.committed()) >= COMPACT:
+            self.compact()
         return True
 
+    def compact(self) -> None:
+        """Write the latest counts as one table, mark it, and remove what it replaces. The mark comes last, so an interruption leaves the batches in use."""
+        upto = self.committed()[-1]
+        self._latest().filter("doc_id IS NOT NULL").write.mode("overwrite").parquet(self._path("latest", upto))
+        old = self._numbers("compacted")
+        self._mark("compacted", upto)
+        drop_dir(self.spark, *(self._path("state", b) for b in self.committed()), *(self._path("latest", b) for b in old))
+
     def totals(self) -> DataFrame:
-        sums = self._read("totals", TOTALS).groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in ("docs", "tokens", "chars")))
+        sums = self._read("totals", TOTALS, self.committed()).groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in ("docs", "tokens", "chars")))
         return sums.filter("docs <> 0").select(*KEY, F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"), F.col("chars").alias("n_chars"))
 
 
