@@ -13,7 +13,8 @@ ignored.
 
 Tokenising splits a text at single spaces between two characters that are not white space. The pre-tokenizer
 begins a new token at each such space whatever stands around, so the parts can be encoded one by one, and
-frequent parts are remembered (a bounded memo); every id comes from the tokenizers library.
+frequent parts are remembered (a bounded memo); every id comes from the tokenizers library. The library's defaults hold, so the string of a special token
+in a text becomes that token's id; such strings have no space.
 """
 
 from __future__ import annotations
@@ -61,7 +62,6 @@ class ByteIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.inner = Memo(self._inner, MEMO)
         self.signs = Memo(self._ids, 100)
         self.word = self.tokenizer.model.tokenize
@@ -168,16 +168,27 @@ class BestFit:
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
-    """Add sequence_id and offset. Each partition is packed on its own, in windows of WINDOW pieces, the longest of a window first."""
+    """Add sequence_id and offset. Each partition is packed on its own, in windows of WINDOW pieces, the longest of a window first; windows don't depend on the batches that pieces come in."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            while size >= WINDOW:
+                table = pa.Table.from_batches(held).combine_chunks()
+                yield table.slice(0, WINDOW).to_batches()[0]
+                held, size = table.slice(WINDOW).to_batches(), size - WINDOW
+        if size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = BestFit(length, open_bins), TaskContext.get().partitionId() << 36
-        for b in batches:
+        for b in windows(batches):
             lengths = b["length"].to_numpy()
             placed = np.zeros((len(b), 2), np.int64)
-            for lo in range(0, len(b), WINDOW):
-                for i in (lo + np.argsort(-lengths[lo : lo + WINDOW], kind="stable")).tolist():
-                    placed[i] = bins.place(int(lengths[i]))
+            for i in np.argsort(-lengths, kind="stable").tolist():
+                placed[i] = bins.place(int(lengths[i]))
             seq, offset = (placed + [base, 0]).T
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq), pa.array(offset)], names=[*b.schema.names, "sequence_id", "offset"])
 
