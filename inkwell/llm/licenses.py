@@ -28,7 +28,8 @@ from .common import load, text_bytes
 
 # Phrases and labels of the contract.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Opening sentences of public licences and usual notices, with the phrases each must show.
+# Usual notices and the sentences of public licences' texts that are the licence's own, with the phrases each must show. A text is found by its sentences, so
+# names, dates and other insertions between them don't matter.
 TEMPLATES = [
     ("mit", "Released under the MIT License", ["mit license"]),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", ["permission is hereby granted", "free of charge"]),
@@ -46,6 +47,25 @@ TEMPLATES = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0", ["cc by nc"]),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0", ["cc by sa"]),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution"]),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions", ["permission is hereby granted", "merge publish distribute sublicense"]),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", ["this permission notice shall be included"]),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", ["as is basis", "warranties or conditions"]),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", ["redistributions of source code"]),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", ["redistributions in binary form"]),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products"]),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details", ["see the gnu general public license"]),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program", ["copy of the gnu general public license"]),
+    ("lgpl", "You should have received a copy of the GNU Lesser General Public License along with this library", ["gnu lesser general public license"]),
+    ("agpl", "You should have received a copy of the GNU Affero General Public License along with this program", ["gnu affero general public license"]),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at", ["copy of the mpl"]),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means", ["anyone is free to copy modify publish"]),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", ["alter it and redistribute it freely"]),
+    ("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software", ["person or organization obtaining a copy"]),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ["eclipse public license"]),
+    ("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1", ["sil open font license"]),
+    ("postgresql", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted", ["without a written agreement"]),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed", ["changing it is allowed"]),
+    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", ["dedicated the work to the public domain"]),
 ]
 #: Share of a template's words that must stand in place, and number of its looked-up words that must have voted.
 LEAST_SHARE = 0.85

@@ -74,19 +74,25 @@ def test_licence_bases(spark, texts):
 def test_token_totals(spark, duck, texts):
     from collections import Counter
 
-    from inkwell.llm.token_counts import counters
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
+    from .test_small_tables import reference_encoding
+
+    single, multi = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), reference_encoding()
+    counters = {"byte_bpe_50k@1": lambda t: len(single.encode(t, add_special_tokens=False).ids), "byte_bpe_multi_50k@1": lambda t: len(multi.encode_ordinary(t))}
     toxic = {i for (i,) in duck.execute("SELECT doc_id FROM labels WHERE toxic = 1").fetchall()}
     expected = Counter()
     for i, t, s, g in duck.execute("SELECT doc_id, text, source, lang FROM documents").fetchall():
         if i not in toxic:
-            for version, f in counters().items():
+            for version, f in counters.items():
                 trimmed = t.strip(" \t\n\x0b\f\r")
                 expected[s, g, version, "docs"] += 1
                 expected[s, g, version, "tokens"] += f(trimmed)
+                expected[s, g, version, "chars"] += len(trimmed)
     got = Counter()
-    for s, g, v, docs, tokens, _ in rows(llm.queries()["op2_token_counts"](spark, SF)):
-        got[s, g, v, "docs"], got[s, g, v, "tokens"] = docs, tokens
+    for s, g, v, docs, tokens, chars in rows(llm.queries()["op2_token_counts"](spark, SF)):
+        got[s, g, v, "docs"], got[s, g, v, "tokens"], got[s, g, v, "chars"] = docs, tokens, chars
     assert got == expected
 
 

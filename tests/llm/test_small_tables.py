@@ -97,6 +97,28 @@ def test_exact_dedup_goes_on_from_its_state(spark, table, tmp_path):
     assert got == {5: (1, 2, False), 1: (1, 2, True), 6: (6, 1, True), 7: (7, 1, True)}
 
 
+@pytest.mark.parametrize("first", [True, False], ids=["first batch", "second batch"])
+@pytest.mark.parametrize("step", ["rename", "stream", "mark"])
+def test_exact_dedup_goes_on_after_an_interruption(spark, table, tmp_path, monkeypatch, step, first):
+    a, b = table([(5, "x", "", "", 0), (6, "y", "", "", 0)]), table([(1, "x", "", "", 0), (7, "z", "", "", 0)])
+    d = exact_dedup.StreamingDedup(spark, f"file://{tmp_path}/state")
+    if not first:
+        d.add(a, 0)
+    with monkeypatch.context() as m:
+        if step == "mark":  # the stream has run, its batch isn't marked
+            run = exact_dedup.StreamingDedup._stream
+            m.setattr(exact_dedup.StreamingDedup, "_stream", lambda self: (run(self), 1 / 0))
+        else:
+            m.setattr(exact_dedup.StreamingDedup, *(("_write", lambda *x: 1 / 0) if step == "rename" else ("_stream", lambda self: 1 / 0)))
+        with pytest.raises(ZeroDivisionError):
+            d.add(*((a, 0) if first else (b, 1)))
+    d = exact_dedup.StreamingDedup(spark, f"file://{tmp_path}/state")  # a new driver
+    d.add(a, 0)
+    d.add(b, 1)
+    got = {r[0]: r[1:4] for r in rows(d.result({0: a, 1: b}).select("doc_id", "keep_id", "group_size", "kept"))}
+    assert got == {5: (1, 2, False), 1: (1, 2, True), 6: (6, 1, True), 7: (7, 1, True)}
+
+
 def test_exact_dedup_stage_and_empty_table(spark, docs, none):
     kept = exact_dedup.stage(spark, docs, "")
     assert kept.columns == docs.columns
@@ -317,6 +339,19 @@ def test_fingerprints_resist_shifts():
     assert both.tolist() == [1, 0, 1]
 
 
+def plain_likeness(a, b):
+    """Share of the length of a's distinct chunks that b has too, by the chunks' bytes."""
+    a, b = ({t[s:e] for s, e in scalar_chunks(t)} for t in (a.encode(), b.encode()))
+    return sum(map(len, a & b)) / sum(map(len, a)) if a else float(not b)
+
+
+def test_fingerprints_of_null_and_repeated_ids(table):
+    data = [(None, "no id " * 40, "", "", 0), (1, "b " * 90, "", "", 0), (1, "a " * 90, "", "", 0), (1, "a " * 90, "", "", 0), (None, None, "", "", 0), (2, "tail", "", "", 0)]
+    got = rows(fingerprints.with_next(table(data), 3).mapInArrow(fingerprints._compare, fingerprints._OUT))
+    assert Counter(r[0] for r in got) == Counter(r[0] for r in data)
+    assert len({r[3] for r in got if r[0] == 1}) == 2 and len({r[3] for r in got if r[0] is None}) == 2
+
+
 @pytest.mark.parametrize("buckets", [1, 3, 50])
 def test_each_document_meets_the_next(table, buckets):
     data = [r for r in ROWS if r[0] is not None]
@@ -327,6 +362,12 @@ def test_each_document_meets_the_next(table, buckets):
         h = len(t) // 2
         expected[i, len(t), hashlib.sha256((t[: len(t) - h] + n[:h]).encode()).hexdigest()] += 1
     assert Counter(r[:3] for r in got) == expected
+    near = {}
+    for (i, t), (_, n) in zip(texts, texts[1:] + texts[:1], strict=True):
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        near.setdefault(i, []).append((plain_likeness(t, edited), plain_likeness(t, n)))
+    for i, *_, edited, following in got:
+        assert any(abs(a - edited) < 1e-9 and abs(b - following) < 1e-9 for a, b in near[i])
     prints = {i: f for i, _, _, f, *_ in got}
     assert prints[1] == prints[3] and prints[2] == prints[4] == ""
 
@@ -358,9 +399,39 @@ def test_licences(table, none):
     assert licenses.scan_licences(none).count() == 0
 
 
-def test_licence_places_match_a_regular_expression(docs):
-    for r in rows(licenses.scan_licences(docs)):
-        pass
+def plain_licences(texts):
+    """Labels and score of each text by trying every template at every place."""
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), some(t)))
+    out = []
+    for t in texts:
+        words, found = word(t), []
+        for label, template, phrases in licenses.TEMPLATES:
+            template = word(template)
+            for first in range(1 - len(template), len(words)):
+                span = words[max(first, 0) : first + len(template)]
+                share = sum(k + first >= 0 and k + first < len(words) and words[k + first] == w for k, w in enumerate(template)) / len(template)
+                if share >= licenses.LEAST_SHARE and all(f" {' '.join(word(p))} " in f" {' '.join(span)} " for p in phrases):
+                    found.append((label, share))
+        base = [label for phrase, label in licenses.BASE.items() if f" {phrase} " in f" {' '.join(words)} "]
+        out.append((",".join(sorted({*base, *(x for x, _ in found)})), max([float(bool(base)), *(s for _, s in found)])))
+    return out
+
+
+def test_licences_match_a_scan_of_all_places(table):
+    rng = np.random.default_rng(7)
+    texts = []
+    for i in range(150):
+        words = [w for k in rng.integers(0, len(licenses.TEMPLATES), rng.integers(1, 4)) for w in ["xx", *licenses.TEMPLATES[k][1].split()]]
+        for _ in range(rng.integers(0, 4)):
+            at = int(rng.integers(0, len(words)))
+            words[at : at + int(rng.integers(0, 2))] = [["software", "license", "zz", ""][rng.integers(0, 4)]]
+        texts.append(" ".join(words[rng.integers(0, 3) :]))
+    got = {r[0]: r[1:] for r in rows(licenses.scan_licences(table([(i, t, "", "", 0) for i, t in enumerate(texts)])).select("doc_id", "labels", "score"))}
+    for i, (labels, score) in enumerate(plain_licences(texts)):
+        assert got[i][0] == labels and abs(got[i][1] - score) < 1e-12, texts[i]
+
+
+def test_licence_places_match_a_regular_expression():
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for _, t, *_ in ROWS:
         low = re.sub("[A-Z]", lambda m: m[0].lower(), some(t))
@@ -408,19 +479,45 @@ def test_rare_languages_and_copies_are_sampled_alike(table):
     data += [(6000 + i, f"rare words {i}", "xx", "", 0) for i in range(3)]
     docs = table(data).select("doc_id", "text", "lang")
     assert langid.train(docs, rows=200)[0] == ["en", "xx"]
-    got = rows(langid.sample(docs, 200))
+    got = rows(langid.sample(docs, 200, langid.label_counts(docs)))
     same = sum(t == "one and the same text" for t, _ in got)
     assert 140 <= len(got) <= 260 and 0.5 * len(got) < same < 0.8 * len(got)
 
 
 def test_language_scores_match_a_plain_sum():
     texts = ["Ab1", "é", "x" * 50]
-    grams, at = langid._grams(texts)
-    assert np.diff(at).tolist() == [3 * (len(t) + 2) - 3 for t in texts]
-    one, _ = langid._grams(texts[:1])
+    ((who, parts, own),) = langid._steps(texts)
+    grams, at = langid._grams(parts, own)
+    assert who == [0, 1, 2] and np.diff(at).tolist() == [3 * (len(t) + 2) - 3 for t in texts]
+    one, _ = langid._grams(parts[:1], own[:1])
     assert one.tolist() == grams[: at[1]].tolist()
 
 
+@pytest.mark.parametrize("part", [3, 7, 64])
+def test_long_texts_are_taken_in_parts(monkeypatch, part):
+    texts = ["", "ab", "İstanbul und Köln " * 9, "x" * 64, "abcdefg"]
+
+    def counts():
+        out = [Counter() for _ in texts]
+        for who, parts, own in langid._steps(texts, 50):
+            grams, at = langid._grams(parts, own)
+            for i, lo, hi in zip(who, at[:-1], at[1:], strict=True):
+                out[i].update(grams[lo:hi].tolist())
+        return out
+
+    whole = counts()
+    monkeypatch.setattr(langid, "PART", part)
+    assert counts() == whole
+
+
+def test_language_priors_decide_between_equal_texts(table):
+    data = [(i, "same words", "en" if i % 4 else "de", "", 0) for i in range(40)]
+    docs = table(data)
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    assert np.exp(model[2]).round(6).tolist() == [0.25, 0.75]
+    assert {r[1] for r in rows(langid.predict(docs, model, ["doc_id"]))} == {"en"}
+
+
 # -- packing ---------------------------------------------------------------------------------------------------
 
 
@@ -428,7 +525,6 @@ def check_packing(packed, data, length=packing.LENGTH):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     sequences = defaultdict(list)
     docs = defaultdict(list)
     for i, piece, start, n, crc, seq, offset in packed:
@@ -453,10 +549,24 @@ def check_packing(packed, data, length=packing.LENGTH):
 
 
 def test_packing(table, none):
-    data = [r for r in ROWS if r[0] not in (7, None)]
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|endoftext|><|endoftext|>  z <|endoftext", " <|endoftext|> "]
+    data = [r for r in ROWS if r[0] not in (7, None)] + [(50 + i, t, "", "", 0) for i, t in enumerate(special)]
     check_packing(rows(packing.pack_documents(table(data))), [(r[0], r[1]) for r in data])
     assert packing.pack_documents(none).count() == 0
-    assert packing.pack_documents(table(ROWS)).select("doc_id").count() >= len(ROWS)
+    # rows with one id, and rows without one, are packed each on its own
+    packed = rows(packing.pack_documents(table(ROWS)))
+    check_packing([(next(x), *r[1:]) if r[0] in (7, None) else r for x in [itertools.count(-1, -1)] for r in packed], [(r[0], r[1]) for r in ROWS if r[0] not in (7, None)])
+    whole = Counter((r[0], r[4]) for r in packed if r[0] in (7, None))
+    assert all(n == (2 if i == 7 else 1) for (i, _), n in whole.items()) and {i for i, _ in whole} == {7, None}
+
+
+def test_packing_does_not_depend_on_batches(spark, monkeypatch):
+    pieces = spark.range(0, 9000, 1, 1).selectExpr("id AS doc_id", "CAST(0 AS int) AS piece", "0L AS start", "1 + (id * 7919) % 1024 AS length", "0L AS ids_crc32")
+    got = set()
+    for most in ("300", "2000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        got.add(frozenset(rows(packing.pack(pieces).select("doc_id", "sequence_id", "offset"))))
+    assert len(got) == 1
 
 
 def test_best_fit_bound():
@@ -573,6 +683,24 @@ def test_rollup(spark, tmp_path):
     assert Counter(before) == expected
     r.commit(7, spark.createDataFrame([], CHANGES))
     assert sorted(rows(r.totals()), key=str) == before
+    with pytest.raises(ValueError, match="after batch 7"):
+        r.commit(5, batches[0])
+
+
+def test_rollup_counts_each_row_without_an_id(spark, tmp_path):
+    r = token_counts.TokenRollup(spark, f"file://{tmp_path}/rollup")
+    r.commit(1, spark.createDataFrame([(None, "insert", 1, "a", "en", "one"), (None, "insert", 1, "a", "en", "one"), (1, "insert", 1, "a", "en", "one")], CHANGES))
+    r.commit(2, spark.createDataFrame([(None, "delete", 1, "a", "en", ""), (None, "revise", 1, "a", "en", "x y z"), (1, "delete", 1, "a", "en", "")], CHANGES))
+    assert {x[3:6] for x in rows(r.totals())} == {(2, 2, 6)}
+
+
+def test_rollup_is_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "COMPACT", 2)
+    r = token_counts.TokenRollup(spark, f"file://{tmp_path}/rollup")
+    for n, (op, text) in enumerate([("insert", "a"), ("revise", "a b"), ("revise", "a b c"), ("delete", ""), ("insert", "a b"), ("revise", "a b c d")]):
+        r.commit(n, spark.createDataFrame([(1, op, 1, "a", "en", text), (10 + n, "insert", 1, "a", "en", "x")], CHANGES))
+    assert {x[3:6] for x in rows(r.totals())} == {(7, 10, 13)}
+    assert r._numbers("compacted")[-1] == 5 and not r._numbers("state")
 
 
 def test_interrupted_batch_is_written_again(spark, tmp_path):
