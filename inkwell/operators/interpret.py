@@ -64,6 +64,64 @@ class State:
     colors: tuple[Any, Any] = (0.0, 0.0)
 
 
+@dataclass
+class Subpath:
+    """Where a pen was put down, and the operators that moved it from there, in user space."""
+
+    start: tuple[float, float]
+    moves: list[tuple[str, list[float]]] = field(default_factory=list)
+
+    def figure(self, m: Matrix) -> dict:
+        """Kind, box and points on the page, and the operators with all their points."""
+        home = point(m, *self.start)
+        stops = [point(m, *n[-2:]) if n else home for _, n in self.moves]
+        corners = [home, *stops]
+        straight = len(self.moves) == sum(op == "l" or (op == "h" and k == len(self.moves) - 1) for k, (op, _) in enumerate(self.moves))
+        closed = bool(self.moves) and self.moves[-1][0] == "h"
+        if closed and len(self.moves) > 2 and self.moves[-2][0] == "l" and stops[-2] == home:
+            corners.pop()  # the last edge came home already
+        edges = [(q[0] - p[0], q[1] - p[1]) for p, q in zip(corners, corners[1:])]
+        pts, kind = corners, "curve"
+        if straight and len(self.moves) - closed == 1:
+            pts, kind = corners[:2], "line"
+        elif straight and len(edges) == 4 and corners[4] == home and square(edges):
+            (ax, ay), (cx, cy) = corners[0], corners[2]
+            pts, kind = [(ax, ay), (cx, ay), (cx, cy), (ax, cy)], "rect"
+        xs, ys = zip(*corners, strict=True)
+        original = [("m", [home]), *((op, [point(m, x, y) for x, y in zip(n[::2], n[1::2], strict=True)]) for op, n in self.moves)]
+        return {"kind": kind, "x0": min(xs), "y0": min(ys), "x1": max(xs), "y1": max(ys), "pts": pts, "original": original}
+
+
+def square(edges: list[tuple[float, float]]) -> bool:
+    """Edges run along the axes, by turns."""
+    return any(all(edge[(k + turn) % 2] == 0 for k, edge in enumerate(edges)) for turn in (0, 1))
+
+
+class Path:
+    """Subpaths since the last painting operator. One that doesn't begin with a starting point draws nothing."""
+
+    def __init__(self):
+        self.subpaths: list[Subpath] = []
+        self.astray = False
+
+    def take(self, op: str, n: list[float]) -> None:
+        if op == "m":
+            self.subpaths.append(Subpath((n[0], n[1])))
+        elif op == "re":
+            x, y, w, h = n
+            self.subpaths.append(Subpath((x, y), [("l", [x + w, y]), ("l", [x + w, y + h]), ("l", [x, y + h]), ("h", [])]))
+        elif self.subpaths:
+            self.subpaths[-1].moves.append((op, n))
+        else:
+            self.astray = True
+
+    def figures(self, m: Matrix) -> list[dict]:
+        """Figures of all subpaths; a bare starting point counts only if it is all there is."""
+        if self.astray:
+            return []
+        return [p.figure(m) for p in self.subpaths if p.moves or len(self.subpaths) == 1]
+
+
 @dataclass
 class PageItems:
     box: tuple[float, float, float, float]
@@ -119,7 +177,7 @@ class Interpreter:
         streams = [s for s in streams if s.key not in above or s.key is None]
         data = b"\n".join(self.doc.decoded(s) for s in streams)
         state, saved, operands = State(ctm=ctm), [], []
-        path: list[tuple] = []
+        path = Path()
         self.device = ctm
         for op, extra in operators(data):
             if op is None:
@@ -150,19 +208,16 @@ class Interpreter:
                     state.ctm = self.device = compose(m, state.ctm)
             elif op in PATH_OPS:
                 if (n := numbers(args)) is not None:
-                    if op == "re":
-                        x, y, w, h = n
-                        path += [("m", x, y), ("l", x + w, y), ("l", x + w, y + h), ("l", x, y + h), ("h",)]
-                    else:
-                        path.append((op, *n))
+                    path.take(op, n)
             elif op in PAINT:
                 stroke, fill, evenodd, close = PAINT[op]
                 if close:
-                    path.append(("h",))
-                self._paint(state, path, stroke, fill, evenodd)
-                path = []
+                    path.take("h", [])
+                for figure in path.figures(self.device):
+                    self._add(linewidth=state.linewidth, stroke=stroke, fill=fill, evenodd=evenodd, scolor=state.colors[0], ncolor=state.colors[1], dash=state.dash, **figure)
+                path = Path()
             elif op == "n":
-                path = []
+                path = Path()
             elif op == "Do":
                 self._object(args[0], resources, state, inside)
             elif op in TAG_OPS:
@@ -293,25 +348,6 @@ class Interpreter:
         self._add("glyph", cid=cid, text=f"(cid:{cid})" if text is None else text, x0=x0, y0=y0, x1=x1, y1=y1, matrix=tuple(map(float, m)), font=font.name, fontsize=float(size), size=x1 - x0 if font.vertical else y1 - y0, adv=adv, upright=m[0] * m[3] * scaling > 0 and m[1] * m[2] <= 0, vertical=font.vertical, undefined=text is None, ncs=s.spaces[1][0], scolor=s.colors[0], ncolor=s.colors[1])
         return adv
 
-    def _paint(self, s: State, path: list[tuple], stroke: bool, fill: bool, evenodd: bool) -> None:
-        shape = "".join(p[0] for p in path)
-        if not shape.startswith("m"):
-            return
-        for part in re.finditer("m[^m]*", shape):
-            segments = path[part.start() : part.end()]
-            if len(segments) == 1 and shape.count("m") > 1:
-                continue
-            start = segments[0][1:3]
-            pts = [point(self.device, *(p[-2:] if p[0] != "h" else start)) for p in segments]
-            original = [(p[0], [point(self.device, p[i], p[i + 1]) for i in range(1, len(p) - 1, 2)]) for p in segments]
-            form = part.group()
-            if len(form) > 3 and form.endswith("lh") and pts[-2] == pts[0]:
-                form = form[:-2] + "h"
-                pts.pop()
-            kind = classify(form, pts)
-            xs, ys = zip(*pts, strict=True)
-            self._add(kind, x0=min(xs), y0=min(ys), x1=max(xs), y1=max(ys), linewidth=s.linewidth, pts=[pts[0], pts[1]] if kind == "line" else [pts[0], (pts[2][0], pts[0][1]), pts[2], (pts[0][0], pts[2][1])] if kind == "rect" else pts, stroke=stroke, fill=fill, evenodd=evenodd, scolor=s.colors[0], ncolor=s.colors[1], original=original, dash=s.dash)
-
     def _figure(self, name: str, box: tuple, m: Matrix) -> None:
         x, y, w, h = box
         x0, y0, x1, y1 = hull(m, x, y, x + w, y + h)  # the box is read as origin and size
@@ -364,17 +400,6 @@ def numbers(args: list) -> list[float] | None:
     return [float(a) for a in args] if all(isinstance(a, (int, float)) and not isinstance(a, bool) for a in args) else None
 
 
-def classify(form: str, pts: list[tuple[float, float]]) -> str:
-    """line, rect or curve, from the letters of a subpath and its points."""
-    if form in ("ml", "mlh"):
-        return "line"
-    if form in ("mlllh", "mllll") and pts[0] == pts[4]:
-        (ax, ay), (bx, by), (cx, cy), (dx, dy) = pts[:4]
-        if (ax == bx and by == cy and cx == dx and dy == ay) or (ay == by and bx == cx and cy == dy and dx == ax):
-            return "rect"
-    return "curve"
-
-
 # Operators by what they do, with the number of their operands.
 PATH_OPS = {"m": 2, "l": 2, "c": 6, "v": 4, "y": 4, "h": 0, "re": 4}
 #: stroke, fill, even-odd, close first

@@ -12,7 +12,8 @@ from inkwell.functions.syntax import Stream
 
 from .layout import Layout, Line, Node, Params, containers, layout
 
-_CONTROL = re.compile("[\x00-\x08\x0b-\x0c\x0e-\x1f]")
+#: Characters below the blank that XML doesn't allow: all but tab, line feed and carriage return.
+_CONTROL = re.compile(f"[{re.escape(''.join(chr(c) for c in range(32) if chr(c) not in '\t\n\r'))}]")
 
 
 def box_text(b: tuple) -> str:

@@ -76,11 +76,12 @@ def resolve_chains(refs: DataFrame, key: str, target: str) -> DataFrame:
     return _to_the_end(step, {"resolved": F.col("far_resolved")})
 
 
-def label_pages(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Add ``label``: of the ranges that start at or before a page the last one counts. Ranges are few, so their list is one broadcast row."""
-    listed = ranges.agg(F.sort_array(F.collect_list(F.struct("start", "style", "prefix", "first")), asc=False).alias("ranges"))
-    own = pages.crossJoin(F.broadcast(listed)).withColumn("r", F.get(F.filter("ranges", lambda r: r["start"] <= F.col("page_no")), F.lit(0)))
-    return own.withColumn("label", G.page_label(F.col("r.style"), F.col("r.prefix"), F.col("r.first") + F.col("page_no") - F.col("r.start"))).drop("ranges", "r")
+def label_pages(pages: DataFrame, ranges: DataFrame, doc: str = "doc") -> DataFrame:
+    """Add ``label``: of the ranges of a document that start at or before a page the last one counts; pages before all ranges, and of documents without any, have none. A document's ranges are few and travel as one list."""
+    listed = ranges.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("start", "style", "prefix", "first")), asc=False).alias("ranges"))
+    own = pages.join(listed, doc, "left").withColumn("r", F.get(F.filter("ranges", lambda r: r["start"] <= F.col("page_no")), F.lit(0)))
+    label = G.page_label(F.col("r.style"), F.col("r.prefix"), F.col("r.first") + F.col("page_no") - F.col("r.start"))
+    return own.withColumn("label", F.when(F.col("r").isNotNull(), label)).drop("ranges", "r")
 
 
 def word_runs(glyphs: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,11 +94,15 @@ def word_runs(glyphs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.filter("NOT _b").groupBy(*keys, "word").agg(text.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def classify_shapes(df: DataFrame, shape: str) -> DataFrame:
-    """One row per subpath with its kind, from the operators' letters alone; closed four-sided shapes count as axis-parallel."""
-    part = F.explode(F.regexp_extract_all(F.col(shape), F.lit("m[^m]+"), F.lit(0)))
-    kind = F.when(F.col("part").isin("ml", "mlh"), "line").when(F.col("part").isin("mlllh", "mllll"), "rect").otherwise("curve")
-    return df.withColumn("part", part).withColumn("kind", kind)
+def classify_edges(df: DataFrame, corners: str, bent: Column, closed: Column) -> DataFrame:
+    """Add ``kind`` of subpaths given by their corners, an array of (x, y): a line has one edge; a rectangle has four that come back to the first corner, along the axes by turns; all others are curves."""
+    c = F.col(corners)
+    edges = F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda p, q: F.struct((q["x"] - p["x"]).alias("x"), (q["y"] - p["y"]).alias("y")))
+    lies, stands = (lambda k, axis=axis: F.get(edges, F.lit(k))[axis] == 0 for axis in ("y", "x"))
+    by_turns = (lies(0) & stands(1) & lies(2) & stands(3)) | (stands(0) & lies(1) & stands(2) & lies(3))
+    home = F.get(c, F.lit(0)) == F.get(c, F.lit(4))
+    kind = F.when(~bent & (F.size(c) - closed.cast("int") == 2), "line").when(~bent & (F.size(c) == 5) & home & by_turns, "rect").otherwise("curve")
+    return df.withColumn("kind", kind)
 
 
 def decode_hex(text: Column) -> Column:

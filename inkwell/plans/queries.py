@@ -216,12 +216,12 @@ def codec_hex(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", F.md5(R.decode_hex(text)).alias("text_md5"))
 
 
-@query("SELECT c_custkey, md5(c_name) AS name_md5 FROM customer")
+@query("SELECT c_custkey, md5(coalesce(c_name, '')) AS name_md5 FROM customer")
 def codec_rc4(spark: SparkSession, d: str) -> DataFrame:
     return _cipher(spark, d, lambda k, t: crypto.rc4(k, crypto.rc4(k, t)))
 
 
-@query("SELECT c_custkey, md5(c_name) AS name_md5 FROM customer")
+@query("SELECT c_custkey, md5(coalesce(c_name, '')) AS name_md5 FROM customer")
 def codec_aes(spark: SparkSession, d: str) -> DataFrame:
     def there_and_back(k: bytes, t: bytes) -> bytes:
         n = 16 - len(t) % 16
@@ -233,7 +233,7 @@ def codec_aes(spark: SparkSession, d: str) -> DataFrame:
 def _cipher(spark: SparkSession, d: str, f) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [f(k.to_bytes(16, "big"), t.encode()) for k, t in zip(b["c_custkey"].to_pylist(), b["c_name"].to_pylist(), strict=True)]
+            out = [f(k.to_bytes(16, "big"), (t or "").encode()) for k, t in zip(b["c_custkey"].to_pylist(), b["c_name"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["c_custkey"], pa.array(out, pa.binary())], names=["c_custkey", "data"])
 
     return _table(spark, d, "customer").select("c_custkey", "c_name").mapInArrow(run, "c_custkey long, data binary").select("c_custkey", F.md5("data").alias("name_md5"))
@@ -277,18 +277,26 @@ def box_distance(spark: SparkSession, d: str) -> DataFrame:
     return t.select("l_orderkey", "l_linenumber", G.distance_h(a, b).cast("long").alias("dist"), G.overlap_h(a, b).cast("long").alias("over"), G.hull_waste(a, b).cast("long").alias("waste"))
 
 
-_SHAPES = ["ml", "mlh", "mlllh", "mllll", "mlcvh", "mll", "mlllhmlh"]
-
-
 @query(
     _INTS
-    + """, f AS (SELECT *, ['ml', 'mlh', 'mlllh', 'mllll', 'mlcvh', 'mll', 'mlllhmlh'][1 + (p % 7)] AS shape FROM t), u AS (SELECT *, unnest(regexp_extract_all(shape, 'm[^m]+')) AS part FROM f)
-SELECT CASE WHEN part IN ('ml', 'mlh') THEN 'line' WHEN part IN ('mlllh', 'mllll') THEN 'rect' ELSE 'curve' END AS kind, n AS line_number, count(*) AS paths FROM u GROUP BY ALL"""
+    + """, f AS (SELECT *, CASE WHEN p % 6 <= 1 THEN 'line' WHEN p % 6 = 2 AND s % 3 = 0 THEN 'rect' WHEN p % 6 = 3 AND q % 2 = 0 THEN 'rect' ELSE 'curve' END AS kind FROM t)
+SELECT kind, n AS line_number, count(*) AS paths FROM f GROUP BY ALL"""
 )
 def path_classify(spark: SparkSession, d: str) -> DataFrame:
-    """Subpaths of shapes by the letters of their operators (axis-parallel and closed ones)."""
-    t = _ints(spark, d).withColumn("shape", F.element_at(F.array(*map(F.lit, _SHAPES)), (F.col("p") % 7 + 1).cast("int")))
-    return R.classify_shapes(t, "shape").groupBy("kind", F.col("n").alias("line_number")).agg(F.count(F.lit(1)).alias("paths"))
+    """Subpaths by their edges: open and closed lines, four-sided ones upright or slanting, four-sided ones that come home or don't, triangles, curves."""
+    c = F.col
+    at = lambda x, y: F.struct(F.lit(x).cast("long").alias("x") if isinstance(x, int) else x.cast("long").alias("x"), F.lit(y).cast("long").alias("y") if isinstance(y, int) else y.cast("long").alias("y"))
+    kind, slant = c("p") % 6, c("s") % 3
+    corners = (
+        F.when(kind == 0, F.array(at(0, 0), at(c("q"), c("n"))))
+        .when(kind == 1, F.array(at(0, 0), at(c("q"), c("n")), at(0, 0)))
+        .when(kind == 2, F.array(at(0, 0), at(slant, c("n")), at(slant + c("q"), c("n")), at(c("q"), 0), at(0, 0)))
+        .when(kind == 3, F.array(at(0, 0), at(c("q"), 0), at(c("q"), c("n")), at(0, c("n")), at(0, c("q") % 2)))
+        .when(kind == 4, F.array(at(0, 0), at(c("q"), 0), at(c("q"), c("n")), at(0, 0)))
+        .otherwise(F.array(at(0, 0), at(c("q"), 0), at(c("q"), c("n")), at(0, c("n")), at(0, 0)))
+    )
+    t = _ints(spark, d).withColumn("corners", corners)
+    return R.classify_edges(t, "corners", kind == 5, kind.isin(1, 2, 4, 5)).groupBy("kind", c("n").alias("line_number")).agg(F.count(F.lit(1)).alias("paths"))
 
 
 @query(
@@ -305,14 +313,20 @@ def color_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS page FROM orders)
-SELECT o_orderkey, CASE WHEN page < 3 THEN ['i', 'ii', 'iii'][page + 1] WHEN page < 7 THEN 'p-' || CAST(page - 2 AS VARCHAR) ELSE chr(CAST(65 + (page - 7) % 26 AS INTEGER)) END AS label FROM p WHERE page < 33"""
+    """WITH RECURSIVE p AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS page FROM orders),
+letters AS (
+  SELECT page AS k, page - 6 AS n, '' AS body FROM (SELECT DISTINCT page FROM p WHERE page >= 7)
+  UNION ALL SELECT k, (n - 1) // 26, chr(CAST(65 + (n - 1) % 26 AS INTEGER)) || body FROM letters WHERE n > 0
+)
+SELECT o_orderkey, CASE WHEN page < o_custkey % 2 THEN NULL WHEN page < 3 THEN ['i', 'ii', 'iii'][page - o_custkey % 2 + 1] WHEN page < 7 THEN 'p-' || CAST(page - 2 AS VARCHAR) ELSE body END AS label
+FROM p LEFT JOIN (SELECT k, body FROM letters WHERE n = 0) ON k = page"""
 )
 def page_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels by ranges: the last range that starts at or before a page. A customer's orders stand for a document's pages."""
+    """Labels by ranges: the last range of the document that starts at or before a page. A customer's orders stand for a document's pages; those of customers with an odd number have no label on the first."""
     orders = _table(spark, d, "orders")
     pages = orders.select("o_orderkey", F.col("o_custkey").alias("doc"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("page_no"))
-    ranges = spark.createDataFrame([(0, "r", "", 1), (3, "D", "p-", 1), (7, "A", "", 1)], "start int, style string, prefix string, first int")
+    kinds = F.array(*(F.struct(start.cast("int").alias("start"), F.lit(style).alias("style"), F.lit(prefix).alias("prefix"), F.lit(1).alias("first")) for start, style, prefix in ((F.col("doc") % 2, "r", ""), (F.lit(3), "D", "p-"), (F.lit(7), "A", ""))))
+    ranges = orders.select(F.col("o_custkey").alias("doc")).distinct().select("doc", F.inline(kinds))
     return R.label_pages(pages, ranges).select("o_orderkey", "label")
 
 

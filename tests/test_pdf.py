@@ -3,7 +3,7 @@ import pytest
 from inkwell.functions.encodings import base_metrics, encoding, glyph_text, with_differences
 from inkwell.functions.fonts import expand_vertical, expand_widths, unicode_map
 from inkwell.operators import sinks
-from inkwell.operators.interpret import Interpreter, classify, operators
+from inkwell.operators.interpret import Interpreter, operators
 from inkwell.operators.layout import Line, Params, build_lines, group_lines, layout, page_text
 from inkwell.plans.synth import stream, typeset, write_pdf
 from inkwell.sources.document import Document, text_string
@@ -80,7 +80,35 @@ def test_paths():
     got = items(one_page(b"1 0 0 RG 0 0 m 10 0 l S 0 0 10 20 re f 0 0 m 5 5 l 9 0 l h S 1 1 m 2 2 l 3 3 m 4 4 l S n 5 5 l S 0 0 m 1 1 l F 2 2 l S")).rows
     assert [r["kind"] for r in got] == ["line", "rect", "curve", "line", "line", "curve"]
     assert got[0]["scolor"] == (1, 0, 0) and got[1]["fill"] and not got[1]["stroke"]
-    assert classify("mllll", [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]) == "rect" and classify("mllll", [(0, 0), (1, 1), (1, 1), (0, 1), (0, 0)]) == "curve"
+
+
+@pytest.mark.parametrize(
+    ("path", "kinds"),
+    [
+        (b"0 0 m 5 0 l 5 5 l 0 5 l 0 0 l", ["rect"]),  # comes home by itself
+        (b"0 0 m 5 0 l 5 5 l 0 5 l 0 0 l h", ["rect"]),  # and is closed as well
+        (b"0 0 m 5 5 l 5 5 l 0 5 l 0 0 l", ["curve"]),
+        (b"0 0 m 5 0 l 5 5 l 0 5 l 0 1 l", ["curve"]),  # doesn't come home
+        (b"0 0 m 5 0 l 5 5 l 0 0 l h", ["curve"]),  # a triangle
+        (b"0 0 m 3 4 l h", ["line"]),
+        (b"0 0 m 0 0 l h", ["line"]),
+        (b"0 0 m 5 0 l h 1 1 l", ["curve"]),
+        (b"0 0 m 5 0 l 5 5 l 0 5 l h 2 2 m 3 3 l 4 4 m", ["rect", "line"]),
+        (b"4 4 m", ["curve"]),
+        (b"1 1 l 0 0 m 2 2 l", []),
+        (b"0 0 m 1 1 2 2 3 0 c h", ["curve"]),
+        (b"0 0 m 0 5 l 1 5 l 1 0 l h", ["rect"]),
+        (b"0 0 m 1 5 l 2 5 l 1 0 l h", ["curve"]),
+    ],
+)
+def test_kinds_of_paths(path, kinds):
+    assert [r["kind"] for r in items(one_page(path + b" S")).rows] == kinds
+
+
+def test_points_of_paths():
+    line, curve = items(one_page(b"2 0 0 2 1 1 cm 3 4 m 5 6 l h S 0 0 m 1 1 2 2 3 0 c 4 4 5 5 v 6 6 7 7 y h f")).rows
+    assert line["pts"] == [(7, 9), (11, 13)] and line["original"] == [("m", [(7, 9)]), ("l", [(11, 13)]), ("h", [])]
+    assert curve["pts"] == [(1, 1), (7, 1), (11, 11), (15, 15), (1, 1)] and curve["original"][1] == ("c", [(3, 3), (5, 5), (7, 1)])
 
 
 def test_graphics_state_and_colors():
