@@ -190,6 +190,14 @@ def test_encodings_and_glyph_names():
     assert widths["A"] == 722 and (ascent, descent) == (718, -207) and base_metrics("Courier")[0]["é"] == 600 and base_metrics("Unknown") is None
 
 
+def test_more_glyph_names_and_base_widths():
+    names = {"afii10017": "А", "afii10023": "Ё", "afii10097": "я", "Abreveacute": "Ắ", "Ahorn": None, "Ohorn": "Ơ", "alefhebrew": "א", "afii57664": "א", "registersans": "\uf8e8", "arrowright": "→", "club": "♣", "Zhecyrillic": "Ж", "ahiragana": "あ", "Udotbelow": "Ụ", "threesuperior": "³", "ffi": "ﬃ", "foursuperior": "⁴"}
+    assert {n: glyph_text(n) for n in names} == names
+    assert [base_metrics("Helvetica")[0][c] for c in "£©®Æ°±§¶™†×ďİį"] == [556, 737, 737, 1000, 400, 584, 556, 537, 1000, 556, 584, 643, 278, 222]
+    assert [base_metrics("Times-BoldItalic")[0][c] for c in "¬−©¶Ł"] == [606, 606, 747, 500, 611] and base_metrics("Courier")[0]["Ă"] == 600
+    assert base_metrics("Symbol")[0]["Σ"] == 592 and base_metrics("ZapfDingbats")[0]["!"] == 793 and base_metrics("Symbol")[1:] == (0, 0)
+
+
 def test_width_runs_and_unicode_maps():
     assert expand_widths([1, [10, 20], 5, 7, 30]) == {1: 10, 2: 20, 5: 30, 6: 30, 7: 30}
     assert expand_vertical([1, [-1000, 500, 800], 3, 4, -900, 1, 2]) == {1: (-1000, (500, 800)), 3: (-900, (1, 2)), 4: (-900, (1, 2))}
