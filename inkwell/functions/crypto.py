@@ -7,6 +7,7 @@ import struct
 import stringprep
 import unicodedata
 from functools import lru_cache
+from operator import itemgetter
 
 # Fixed value: the padding of passwords in the format.
 PADDING = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
@@ -84,58 +85,68 @@ def _schedule(key: bytes) -> list[bytes]:
     return [b"".join(words[i : i + 4]) for i in range(0, len(words), 4)]
 
 
-def _xor(a: bytes, b: bytes) -> bytes:
-    return bytes(x ^ y for x, y in zip(a, b, strict=True))
-
-
 _FORWARD = [(i + 4 * (i % 4)) % 16 for i in range(16)]
-_BACKWARD = [(i - 4 * (i % 4)) % 16 for i in range(16)]
-
+_BACKWARD = itemgetter(*((i - 4 * (i % 4)) % 16 for i in range(16)))
 
-def _mix(state: bytes, table: dict[int, bytes], row: tuple[int, ...]) -> bytes:
-    def part(k: int, x: int) -> int:
-        return x if k == 1 else table[k][x]
 
-    out = bytearray(16)
-    for c in range(0, 16, 4):
-        for r in range(4):
-            out[c + r] = part(row[0], state[c + r]) ^ part(row[1], state[c + (r + 1) % 4]) ^ part(row[2], state[c + (r + 2) % 4]) ^ part(row[3], state[c + (r + 3) % 4])
-    return bytes(out)
+@lru_cache(1)
+def _tables() -> tuple[list[list[int]], list[list[int]], list[list[int]], bytes]:
+    """What a byte at each place of a block adds to the next state, as 128-bit numbers: in a round of encryption, in its last round, and when columns are unmixed; and the inverse box."""
+    box, back, times = _boxes()
+
+    def spread(place: int, value: int, row: tuple[int, ...]) -> int:
+        out, column = bytearray(16), place // 4 * 4
+        for q in range(4):
+            k = row[(place - q) % 4]
+            out[column + q] = value if k == 1 else times[k][value] if k else 0
+        return int.from_bytes(out, "big")
+
+    to = [_FORWARD.index(i) for i in range(16)]
+    return (
+        [[spread(to[i], box[x], (2, 3, 1, 1)) for x in range(256)] for i in range(16)],
+        [[spread(to[i], box[x], (1, 0, 0, 0)) for x in range(256)] for i in range(16)],
+        [[spread(i, x, (14, 11, 13, 9)) for x in range(256)] for i in range(16)],
+        back,
+    )
+
+
+def _added(tables: list[list[int]], state: bytes) -> int:
+    out = 0
+    for table, x in zip(tables, state):
+        out ^= table[x]
+    return out
 
 
-def _encrypt_block(keys: list[bytes], block: bytes) -> bytes:
-    box, _, table = _boxes()
-    state = _xor(block, keys[0])
-    for k in keys[1:]:
-        state = bytes(box[state[i]] for i in _FORWARD)
-        if k is not keys[-1]:
-            state = _mix(state, table, (2, 3, 1, 1))
-        state = _xor(state, k)
-    return state
+def _encrypt_block(keys: list[int], block: int) -> int:
+    middle, last, _, _ = _tables()
+    state = block ^ keys[0]
+    for k in keys[1:-1]:
+        state = _added(middle, state.to_bytes(16, "big")) ^ k
+    return _added(last, state.to_bytes(16, "big")) ^ keys[-1]
 
 
-def _decrypt_block(keys: list[bytes], block: bytes) -> bytes:
-    _, back, table = _boxes()
-    state = block
-    for k in reversed(keys[1:]):
-        state = _xor(state, k)
-        if k is not keys[-1]:
-            state = _mix(state, table, (14, 11, 13, 9))
-        state = bytes(back[state[i]] for i in _BACKWARD)
-    return _xor(state, keys[0])
+def _decrypt_block(keys: list[int], block: int) -> int:
+    _, _, unmix, back = _tables()
+    state = block ^ keys[-1]
+    for k in keys[-2::-1]:
+        state = int.from_bytes(bytes(_BACKWARD(state.to_bytes(16, "big").translate(back))), "big") ^ k
+        if k is not keys[0]:
+            state = _added(unmix, state.to_bytes(16, "big"))
+    return state
 
 
 def aes_cbc(key: bytes, iv: bytes, data: bytes, encrypting: bool = False) -> bytes:
-    keys, out, before = _schedule(key), [], iv
+    """Whole blocks; what is left of a last one is dropped."""
+    keys, out, before = [int.from_bytes(k, "big") for k in _schedule(key)], [], int.from_bytes(iv, "big")
     for at in range(0, len(data) // 16 * 16, 16):
-        block = data[at : at + 16]
+        block = int.from_bytes(data[at : at + 16], "big")
         if encrypting:
-            before = _encrypt_block(keys, _xor(block, before))
+            before = _encrypt_block(keys, block ^ before)
             out.append(before)
         else:
-            out.append(_xor(_decrypt_block(keys, block), before))
+            out.append(_decrypt_block(keys, block) ^ before)
             before = block
-    return b"".join(out)
+    return b"".join(x.to_bytes(16, "big") for x in out)
 
 
 def unpad(data: bytes) -> bytes:

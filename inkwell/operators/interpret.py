@@ -53,7 +53,7 @@ class State:
     leading: float = 0.0
     render: int = 0
     rise: float = 0.0
-    linewidth: float = 0.0
+    linewidth: float = 0
     cap: Any = None
     join: Any = None
     miter: Any = None
@@ -61,7 +61,7 @@ class State:
     intent: Any = None
     flatness: Any = None
     spaces: tuple[tuple[str, int], tuple[str, int]] = (("DeviceGray", 1), ("DeviceGray", 1))  # stroke, fill
-    colors: tuple[Any, Any] = (0.0, 0.0)
+    colors: tuple[Any, Any] = (0, 0)
 
 
 @dataclass

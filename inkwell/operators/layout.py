@@ -1,6 +1,7 @@
 """Layout analysis of a page: glyph rows to lines, boxes and reading order.
 
-Two forms of line building are here. ``glyph_lines`` is a window over a glyph table, which is all that horizontal text needs. ``layout`` analyses one page
+Three forms of line building are here. ``fold_lines`` takes a glyph table as the parser gives it, with each page's glyphs together and in order, and folds them in their task: only
+lines leave it, nothing is shuffled. ``glyph_lines`` is a window, for glyphs in any order. Both are exact for horizontal text. ``layout`` analyses one page
 in memory, with vertical text and the greedy reading order, which are sequential; it is what the sinks and the grouped map use.
 Ties that depend on nothing in the page go by drawing order.
 """
@@ -9,10 +10,15 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.functions import geometry as G
 
@@ -53,6 +59,106 @@ def glyph_lines(glyphs: DataFrame, keys: list[str], p: Params = Params()) -> Dat
     return g.withColumn("gap", gap).drop("_new", "_x0", "_y0", "_x1", "_y1")
 
 
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole containers, with a flag where one begins. A container that goes on in the next batch waits for it."""
+
+    def begins(t: pa.Table) -> np.ndarray:
+        out = np.zeros(len(t), bool)
+        out[0] = True
+        for k in keys:
+            a, b = t[k].slice(0, len(t) - 1), t[k].slice(1)
+            differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+            out[1:] |= differ.to_numpy(zero_copy_only=False) if isinstance(differ, pa.Array) else differ.to_numpy()
+        return out
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        held.append(b)
+        table = pa.Table.from_batches(held)
+        flags = begins(table)
+        if last := int(np.flatnonzero(flags)[-1]):
+            yield table.slice(0, last), flags[:last]
+            held = table.slice(last).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, begins(table)
+
+
+_BOX = ("x0", "y0", "x1", "y1")
+_LINE = "line long, x0 double, y0 double, x1 double, y1 double, text string, glyphs long, seq long"
+
+
+def _runs(table: pa.Table, keys: list[str], first: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: pa.Array, number: np.ndarray) -> pa.RecordBatch:
+    """A row for each run of glyphs, with its box and text."""
+    at = pa.array(starts)
+    bounds = np.stack([starts, np.append(starts[1:], len(first))], 1)  # reduceat goes on to the next start; runs that end before it are cut by a neutral copy
+    used = np.zeros(len(first) + 1, np.int64)
+    np.add.at(used, starts, 1)
+    np.add.at(used, ends, -1)
+    inside = np.cumsum(used)[:-1] > 0
+    lows = [np.minimum.reduceat(np.where(inside, table[c].to_numpy(), np.inf), bounds[:, 0]) for c in ("x0", "y0")]
+    highs = [np.maximum.reduceat(np.where(inside, table[c].to_numpy(), -np.inf), bounds[:, 0]) for c in ("x1", "y1")]
+    kept = pc.filter(text, pa.array(inside))
+    lengths = ends - starts
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)])), kept), "")
+    columns = [*(table[k].combine_chunks().take(at) for k in keys), pa.array(number), *map(pa.array, (*lows, *highs)), joined, pa.array(lengths), table["seq"].combine_chunks().take(at).cast(pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=[*keys, "line", *_BOX, "text", "glyphs", "seq"])
+
+
+def _folded(glyphs: DataFrame, keys: list[str], fold) -> DataFrame:
+    """``fold`` gives (starts, ends, texts) of the runs of a table of whole containers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _whole(batches, keys):
+            starts, ends, text = fold(table, first)
+            if len(starts):
+                before = np.searchsorted(starts, np.flatnonzero(first))  # runs before each container
+                number = np.arange(len(starts)) - before[np.cumsum(first)[starts] - 1]
+                yield _runs(table, keys, first, starts, ends, text, number)
+
+    narrow = glyphs.select(*keys, "seq", "text", *(F.col(c).cast("double").alias(c) for c in _BOX))
+    return narrow.mapInArrow(run, T.StructType([*narrow.select(*keys).schema.fields, *T.StructType.fromDDL(_LINE).fields]))
+
+
+def fold_lines(glyphs: DataFrame, keys: list[str], p: Params = Params()) -> DataFrame:
+    """What ``text_lines(glyph_lines(...))`` gives, without a shuffle: rows of one container (``keys``) must stand together in one partition, in drawing order, as the parser and other narrow steps leave them."""
+
+    def fold(table: pa.Table, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        x0, y0, x1, y1 = (table[c].to_numpy() for c in _BOX)
+        ax0, ay0, ax1, ay1 = (np.concatenate([v[:1], v[:-1]]) for v in (x0, y0, x1, y1))
+        wide, high = x1 - x0, y1 - y0
+        over = np.minimum(np.abs(ay0 - y1), np.abs(ay1 - y0))
+        apart = np.where((x0 <= ax1) & (ax0 <= x1), 0, np.minimum(np.abs(ax0 - x1), np.abs(ax1 - x0)))
+        joined = ~first & (y0 <= ay1) & (ay0 <= y1) & (np.minimum(ay1 - ay0, high) * p.line_overlap < over) & (apart < np.maximum(ax1 - ax0, wide) * p.char_margin)
+        text = table["text"].combine_chunks()
+        if p.word_margin:
+            gap = joined & (ax1 < x0 - np.maximum(wide, high) * p.word_margin)
+            text = pc.binary_join_element_wise(pa.array(np.where(gap, " ", "")), text, "")
+        starts = np.flatnonzero(~joined)
+        return starts, np.append(starts[1:], len(table)), text
+
+    return _folded(glyphs, keys, fold)
+
+
+def fold_words(glyphs: DataFrame, keys: list[str]) -> DataFrame:
+    """Words of each container: runs of glyphs that are not blank and on one baseline; rows as for ``fold_lines``, ``line`` being the word's number."""
+
+    def fold(table: pa.Table, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        text = table["text"].combine_chunks()
+        blank = pc.equal(pc.utf8_trim(text, " "), "").to_numpy(zero_copy_only=False)
+        y0 = table["y0"].to_numpy()
+        new = first | blank
+        new[1:] |= blank[:-1] | (y0[1:] != y0[:-1])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(table))
+        words = ~blank[starts]
+        return starts[words], ends[words], text
+
+    return _folded(glyphs, keys, fold)
+
+
 def text_lines(lined: DataFrame, keys: list[str]) -> DataFrame:
     """One row per line: its box, its text with spaces, the number of glyphs and the first seq."""
     text = F.concat(F.when(F.col("gap"), " ").otherwise(""), F.col("text"))

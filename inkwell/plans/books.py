@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -71,6 +73,20 @@ def made(spark: SparkSession, d: str, table: str, columns: list[str], make: Call
     return spark.read.parquet(f"{d}/{table}.parquet").select(*columns).repartition(tasks, columns[0]).mapInArrow(run, "path string, content binary")
 
 
+def stored(files: DataFrame) -> str:
+    """Put the files of a small, fixed table into a new shared folder, as a store would hold them; gives the folder. They pass through the driver: no use for tables that grow."""
+    spark = files.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='inkwell-')}"
+    folder = f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+    for row in files.collect():
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['path']}.pdf")
+        out = path.getFileSystem(conf).create(path)
+        out.write(bytearray(row["content"]))
+        out.close()
+    return folder
+
+
 # -- storage ---------------------------------------------------------------------------------------------------
 
 

@@ -30,6 +30,12 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return synth.typeset_table(_table(spark, d, "documents").select("doc_id", "text", "source", "lang").repartition(tasks, "doc_id"))
 
 
+def _page_glyphs(spark: SparkSession, d: str, keep: F.Column | None = None) -> DataFrame:
+    """Glyphs of all documents, each page's together and in order. Texts are dealt out before they become glyphs, which are many times as large."""
+    docs = _table(spark, d, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism * 2, "doc_id")
+    return synth.glyph_table(synth.numbered_lines(docs), keep)
+
+
 def _long(c: str) -> F.Column:
     return F.col(c).cast("long").alias(c)
 
@@ -131,17 +137,14 @@ def pdf_objects(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_LINES + "SELECT doc_id, page_no, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS glyphs FROM lines WHERE line <> '' GROUP BY doc_id, page_no")
 def lines_from_glyphs(spark: SparkSession, d: str) -> DataFrame:
-    g = synth.glyph_table(synth.numbered_lines(_table(spark, d, "documents")))
-    lines = L.text_lines(L.glyph_lines(g, ["doc_id", "page_no"]), ["doc_id", "page_no"])
+    lines = L.fold_lines(_page_glyphs(spark, d), ["doc_id", "page_no"])
     return lines.groupBy("doc_id", _long("page_no")).agg(F.count(F.lit(1)).alias("lines"), F.sum("glyphs").alias("glyphs"))
 
 
 @query(_LINES + r"SELECT doc_id, page_no, row, md5(trim(regexp_replace(line, ' +', ' ', 'g'))) AS text_md5 FROM lines WHERE trim(line) <> ''")
 def word_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Lines whose blanks were not drawn get them back from the gaps between glyphs. Lines are set three times as far apart as they are wide at most, so each row is a line."""
-    g = synth.glyph_table(synth.numbered_lines(_table(spark, d, "documents")), F.col("text") != " ")
-    lined = L.glyph_lines(g, ["doc_id", "page_no", "row"], L.Params(char_margin=1000.0))
-    lines = L.text_lines(lined, ["doc_id", "page_no", "row"])
+    lines = L.fold_lines(_page_glyphs(spark, d, F.col("text") != " "), ["doc_id", "page_no", "row"], L.Params(char_margin=1000.0))
     return lines.select("doc_id", _long("page_no"), _long("row"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
@@ -151,16 +154,14 @@ def word_gaps(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.doc_id, a.page_no FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND abs(a.row - b.row) = 1 WHERE a.line <> '' AND b.line <> '') GROUP BY doc_id, page_no"""
 )
 def line_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    g = synth.glyph_table(synth.numbered_lines(_table(spark, d, "documents")))
-    lines = L.text_lines(L.glyph_lines(g, ["doc_id", "page_no"]), ["doc_id", "page_no"])
+    lines = L.fold_lines(_page_glyphs(spark, d), ["doc_id", "page_no"])
     return L.line_neighbors(lines, ["doc_id", "page_no"]).groupBy("doc_id", _long("page_no")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query(_LINES + "SELECT doc_id, page_no, row, count(*) AS words FROM (SELECT doc_id, page_no, row, unnest(string_split(line, ' ')) AS w FROM lines) WHERE w <> '' GROUP BY doc_id, page_no, row")
 def hocr_words(spark: SparkSession, d: str) -> DataFrame:
     """Words of each line as runs of glyphs between blanks: gaps and islands."""
-    g = synth.glyph_table(synth.numbered_lines(_table(spark, d, "documents")))
-    return R.word_runs(g, ["doc_id", "page_no", "row"]).groupBy("doc_id", _long("page_no"), _long("row")).agg(F.count(F.lit(1)).alias("words"))
+    return L.fold_words(_page_glyphs(spark, d), ["doc_id", "page_no", "row"]).groupBy("doc_id", _long("page_no"), _long("row")).agg(F.count(F.lit(1)).alias("words"))
 
 
 @query(

@@ -15,6 +15,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -22,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from inkwell.functions.syntax import Stream
 from inkwell.operators import sinks
 from inkwell.operators.interpret import Interpreter, page_box
-from inkwell.operators.layout import Params, layout, page_text
+from inkwell.operators.layout import Params, containers, layout, page_text
 from inkwell.sources.document import Document, tagged, text_string
 
 _BOX = "x0 double, y0 double, x1 double, y1 double"
@@ -75,6 +76,7 @@ class Options:
     strict: bool = False
     compat: bool = False
     page_block: int = 0
+    image_names: bool = False
 
     @property
     def params(self) -> Params | None:
@@ -200,13 +202,22 @@ class _Rows:
         for i, r in self._drawn("figure"):
             yield i, r["seq"], list(r["figure"]), r["name"], r["x0"], r["y0"], r["x1"], r["y1"], list(r["matrix"])
 
-    def images(self):
+    def _image_names(self):
+        """Gives an image a name that no other image of the file has."""
         names: dict[str, int] = {}
-        for i, r in self._drawn("image"):
-            extension, data = sinks.image_file(self.doc, r)
+
+        def name(r: dict) -> str:
             n = names.get(r["name"], 0)
             names[r["name"]] = n + 1
-            yield i, r["seq"], list(r["figure"]), f"{r['name']}.{n - 1}" if n else r["name"], r["x0"], r["y0"], r["x1"], r["y1"], r["width"], r["height"], r["bits"], r["imagemask"], r["colorspace"], r["filters"], extension, data
+            return f"{r['name']}.{n - 1}" if n else r["name"]
+
+        return name
+
+    def images(self):
+        name = self._image_names()
+        for i, r in self._drawn("image"):
+            extension, data = sinks.image_file(self.doc, r)
+            yield i, r["seq"], list(r["figure"]), name(r), r["x0"], r["y0"], r["x1"], r["y1"], r["width"], r["height"], r["bits"], r["imagemask"], r["colorspace"], r["filters"], extension, data
 
     def tags(self):
         for i, _, items in self._items():
@@ -214,32 +225,40 @@ class _Rows:
                 yield i, t["seq"], t["event"], t["tag"], t["props"]
 
     def _layouts(self):
+        """(page, layouts): of the page and, with ``all_texts``, of its figures in drawing order."""
         for i, _, items in self._items():
-            rows = [r for r in items.rows if not r["figure"]]
-            yield i, layout(rows, items.box, self.o.params)
+            held = containers(items.rows)
+            found = [layout(held.get(None, []), items.box, self.o.params)]
+            if self.o.all_texts:
+                found += [layout(held.get(r["seq"], []), (r["x0"], r["y0"], r["x1"], r["y1"]), self.o.params) for r in items.rows if r["kind"] == "figure"]
+            yield i, found
 
     def text_lines(self):
-        for i, page in self._layouts():
-            n = 0
-            for b, lines in [*((k, box.lines) for k, box in enumerate(page.boxes)), (None, page.empties)]:
-                for x in lines:
-                    yield i, b, n, x.vertical, *map(float, x.box), x.text + "\n"
-                    n += 1
+        for i, found in self._layouts():
+            n = before = 0
+            for page in found:
+                for b, lines in [*((before + k, box.lines) for k, box in enumerate(page.boxes)), (None, page.empties)]:
+                    for x in lines:
+                        yield i, b, n, x.vertical, *map(float, x.box), x.text + "\n"
+                        n += 1
+                before += len(page.boxes)
 
     def text_boxes(self):
-        for i, page in self._layouts():
-            for k, b in enumerate(page.boxes):
+        for i, found in self._layouts():
+            for k, b in enumerate(b for page in found for b in page.boxes):
                 yield i, k, b.vertical, *map(float, b.box), b.text
 
     def text_groups(self):
-        for i, page in self._layouts():
-            count = 0
-            stack: list[tuple] = [(g, None) for g in reversed(page.groups)]
-            while stack:
-                node, parent = stack.pop()
-                yield i, count, parent, node.vertical, node.index if not node.parts else None, *map(float, node.box)
-                stack.extend((p, count) for p in reversed(node.parts))
-                count += 1
+        for i, found in self._layouts():
+            count = before = 0
+            for page in found:
+                stack: list[tuple] = [(g, None) for g in reversed(page.groups)]
+                while stack:
+                    node, parent = stack.pop()
+                    yield i, count, parent, node.vertical, before + node.index if not node.parts else None, *map(float, node.box)
+                    stack.extend((p, count) for p in reversed(node.parts))
+                    count += 1
+                before += len(page.boxes)
 
     def outlines(self):
         numbers = {num: i for i, (num, _) in enumerate(self.doc.pages()) if num is not None}
@@ -267,21 +286,24 @@ class _Rows:
             yield i, page_text(items.rows, items.box, self.o.params)
 
     def _trees(self):
+        """(page, its tree, names of its images as files where ``image_names`` asks for them)."""
+        name = self._image_names()
         for n, (i, _, items) in enumerate(self._items()):
-            yield i, sinks.PageTree(items.rows, items.box, n + 1, self.o.params)
+            images = {r["seq"]: name(r) + sinks.image_file(self.doc, r)[0] for r in items.rows if r["kind"] == "image"} if self.o.image_names else None
+            yield i, sinks.PageTree(items.rows, items.box, n + 1, self.o.params), images
 
     def xml(self):
-        for i, tree in self._trees():
-            yield i, sinks.xml_page(tree, self.o.strip_control)
+        for i, tree, images in self._trees():
+            yield i, sinks.xml_page(tree, self.o.strip_control, images)
 
     def html(self):
         top = 50.0
-        for i, tree in self._trees():
-            yield i, sinks.html_page(tree, top, self.o.scale, mode=self.o.layoutmode, compat=self.o.compat)
+        for i, tree, images in self._trees():
+            yield i, sinks.html_page(tree, top, self.o.scale, mode=self.o.layoutmode, compat=self.o.compat, image_names=images)
             top += tree.box[3] + 50.0
 
     def hocr(self):
-        for i, tree in self._trees():
+        for i, tree, _ in self._trees():
             yield i, sinks.hocr_page(tree)
 
     def tagged(self):
@@ -331,14 +353,16 @@ def parse_files(files: DataFrame, table: str, options: Options = Options(), id_c
     files = files.select(files[id_col].cast("string").alias("doc_id"), files[content].alias("content"))
     blocks = options.page_block > 0 and table in BY_PAGE
     if blocks:
-        files = files.mapInArrow(_blocks(options), "doc_id string, content binary, start int").repartition("doc_id", "start")
+        shares = max(files.sparkSession.sparkContext.defaultParallelism, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        files = files.mapInArrow(_blocks(options, shares), "doc_id string, content binary, starts array<int>").repartition(shares, "doc_id", F.col("starts")[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            starts = b["start"].to_pylist() if blocks else [None] * len(b)
-            for doc_id, data, start in zip(b["doc_id"].to_pylist(), b["content"], starts, strict=True):
+            starts = b["starts"].to_pylist() if blocks else [[None]] * len(b)
+            for doc_id, data, some in zip(b["doc_id"].to_pylist(), b["content"], starts, strict=True):
                 rows: list[tuple] = []
-                for row in rows_of(doc_id, data.as_py() or b"", table, options, start):
+                raw = data.as_py() or b""
+                for row in (row for start in some for row in rows_of(doc_id, raw, table, options, start)):
                     rows.append(row)
                     if len(rows) == 5000:
                         yield _batch(rows, arrow)
@@ -349,8 +373,8 @@ def parse_files(files: DataFrame, table: str, options: Options = Options(), id_c
     return files.mapInArrow(run, schema)
 
 
-def _blocks(options: Options):
-    """Rows (doc_id, content, first page) for each block of a file's pages; an unreadable file is one block."""
+def _blocks(options: Options, shares: int):
+    """Rows (doc_id, content, first pages of blocks): a file's blocks dealt out to at most ``shares`` rows; an unreadable file is one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -360,8 +384,9 @@ def _blocks(options: Options):
                     pages = sum(1 for _ in Document(raw, options.password).pages())
                 except Exception:  # the parse itself reports it
                     pages = 1
-                for start in range(0, max(pages, 1), options.page_block):
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([raw], pa.binary()), pa.array([start], pa.int32())], names=["doc_id", "content", "start"])
+                starts = range(0, max(pages, 1), options.page_block)
+                for k in range(min(shares, len(starts))):
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([raw], pa.binary()), pa.array([list(starts[k::shares])], pa.list_(pa.int32()))], names=["doc_id", "content", "starts"])
 
     return run
 

@@ -113,7 +113,7 @@ def test_points_of_paths():
 
 def test_graphics_state_and_colors():
     got = items(one_page(b"q 2 0 0 2 0 0 cm 3 w 0.5 g q 1 0 0 rg 0 0 m 1 1 l B Q 0 0 m 1 1 l B Q 0 0 m 1 1 l B /Pattern cs /P1 scn 0 0 m 1 1 l B", b"/X 1")).rows
-    assert [r["linewidth"] for r in got] == [6, 6, 0, 0] and [r["ncolor"] for r in got] == [(1, 0, 0), 0.5, 0.0, "P1"]
+    assert [r["linewidth"] for r in got] == [6, 6, 0, 0] and [r["ncolor"] for r in got] == [(1, 0, 0), 0.5, 0, "P1"]
 
 
 def test_inline_image_and_tags():
@@ -252,7 +252,7 @@ def test_reading_order_and_parameters():
 def test_sinks():
     data = one_page(b"BT /F1 10 Tf 10 100 Td (a <b) Tj ET 0 0 5 5 re S")
     xml = rows(data, "xml")[0][2]
-    assert "&lt;" in xml and '<rect linewidth="0.0" bbox="0.000,0.000,5.000,5.000" />' in xml and "<textgroup" not in xml
+    assert "&lt;" in xml and '<rect linewidth="0" bbox="0.000,0.000,5.000,5.000" />' in xml and "<textgroup" not in xml
     assert "ocrx_word" in rows(data, "hocr")[0][2] and "left:" in rows(data, "html", layoutmode="exact")[0][2]
     assert sinks.xml_document([xml]).startswith('<?xml version="1.0" encoding="utf-8" ?>\n<pages>\n')
     assert sinks.html_document(["x"]).count("<a href=") == 1 and sinks.hocr_document([]).endswith("</html>\n")
