@@ -12,6 +12,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -191,7 +192,6 @@ class Line:
     vertical: bool
     glyphs: list[dict] = field(default_factory=list)
     spaces: set[int] = field(default_factory=set)  # a space before the glyph of this index
-    box: tuple[float, float, float, float] = (0, 0, 0, 0)
 
     def add(self, g: dict, margin: float) -> None:
         if self.glyphs and margin:
@@ -199,11 +199,17 @@ class Line:
             if (g["y1"] + reach < last["y0"]) if self.vertical else (last["x1"] < g["x0"] - reach):
                 self.spaces.add(len(self.glyphs))
         self.glyphs.append(g)
-        new = (g["x0"], g["y0"], g["x1"], g["y1"])
-        self.box = new if len(self.glyphs) == 1 else (min(self.box[0], new[0]), min(self.box[1], new[1]), max(self.box[2], new[2]), max(self.box[3], new[3]))
 
-    @property
+    @cached_property
+    def box(self) -> tuple[float, float, float, float]:
+        """The hull of all glyphs; asked for when the line is whole."""
+        g = self.glyphs
+        return (min([x["x0"] for x in g]), min([x["y0"] for x in g]), max([x["x1"] for x in g]), max([x["y1"] for x in g]))
+
+    @cached_property
     def text(self) -> str:
+        if not self.spaces:
+            return "".join([g["text"] for g in self.glyphs])
         return "".join((" " if i in self.spaces else "") + g["text"] for i, g in enumerate(self.glyphs))
 
     @property
@@ -256,8 +262,14 @@ def build_lines(glyphs: list[dict], p: Params) -> list[Line]:
             new.add(g, p.word_margin)
         return new
 
+    least, most = p.line_overlap, p.char_margin
     for a, b in zip(glyphs, glyphs[1:]):
-        h, v = _meets(a, b, p, False), p.detect_vertical and _meets(a, b, p, True)
+        ay0, ay1, by0, by1, ax1, bx0 = a["y0"], a["y1"], b["y0"], b["y1"], a["x1"], b["x0"]
+        if ay0 == by0 and ay1 == by1 and ax1 == bx0 and least < 1 and most > 0 and ay0 < ay1 and (a["x0"] < ax1 or bx0 < b["x1"]):
+            h = True  # the next glyph of a run on one baseline
+        else:
+            h = _meets(a, b, p, False)
+        v = p.detect_vertical and _meets(a, b, p, True)
         if line is not None and (v if line.vertical else h):
             line.add(b, p.word_margin)
         elif line is not None:
