@@ -57,6 +57,10 @@ class Font:
             w = self.widths.get(self.unicode[cid])
         return (self.default_width if w is None else w) * self.scale[0]
 
+    def string_width(self, data: bytes) -> float:
+        """Advance of a string at size 1, without spacing."""
+        return sum(map(self.width, self.ids(data)))
+
     def text(self, cid: int) -> str | None:
         return self.unicode.get(cid)
 
@@ -232,6 +236,14 @@ def cmap_resource(name: str) -> dict | None:
     return None
 
 
+def code_map(found: dict | None, depth: int = 0) -> dict[bytes, int]:
+    """Codes of a predefined map over those of the map that it uses, if it names one."""
+    if not found or depth > 10:
+        return {}
+    below = code_map(cmap_resource(found["USECMAP"]), depth + 1) if isinstance(found.get("USECMAP"), str) else {}
+    return below | _flat(found.get("CODE2CID", {}))
+
+
 def _flat(tree: dict, before: bytes = b"") -> dict[bytes, int]:
     out: dict[bytes, int] = {}
     for k, v in tree.items():
@@ -307,7 +319,7 @@ def _cid_font(doc, spec: dict) -> Font:
         font.vertical, font.code_bytes = ONE_BYTE[name], 1
     else:
         found = cmap_resource(name)
-        font.cmap = _flat(found.get("CODE2CID", {})) if found else {}
+        font.cmap = code_map(found)
         font.vertical = bool(found.get("IS_VERTICAL")) if found else False
     descriptor = doc.dict(spec.get("FontDescriptor"))
     _describe(doc, font, descriptor)

@@ -56,6 +56,14 @@ def distance_v(a: Box, b: Box) -> Column:
     return F.when(overlaps_v(a, b), 0.0).otherwise(_edge_gap(a.y0, a.y1, b.y0, b.y1))
 
 
+def between(a: Box, b: Box) -> tuple[Column, Column]:
+    """What lies between two boxes along both axes; the vector between their middles if they overlap along both."""
+    wide = F.greatest(a.x1, b.x1) - F.least(a.x0, b.x0) - a.width - b.width
+    high = F.greatest(a.y1, b.y1) - F.least(a.y0, b.y0) - a.height - b.height
+    both = (wide < 0) & (high < 0)
+    return F.when(both, (a.x0 + a.x1 - b.x0 - b.x1) / 2).otherwise(F.greatest(wide, F.lit(0))), F.when(both, (a.y0 + a.y1 - b.y0 - b.y1) / 2).otherwise(F.greatest(high, F.lit(0)))
+
+
 def hull_waste(a: Box, b: Box) -> Column:
     """Area of the hull of both less their areas; negative where they overlap."""
     hull = (F.greatest(a.x1, b.x1) - F.least(a.x0, b.x0)) * (F.greatest(a.y1, b.y1) - F.least(a.y0, b.y0))

@@ -139,8 +139,14 @@ def page_box(doc: Document, page: dict, rotation: int = 0) -> tuple[tuple[float,
 
 
 class Interpreter:
-    def __init__(self, doc: Document):
-        self.doc, self.fonts = doc, {}
+    """``undefined`` stands for glyphs without a character; without it, their ids do."""
+
+    def __init__(self, doc: Document, undefined: str | None = None):
+        self.doc, self.fonts, self.undefined = doc, {}, undefined
+
+    def _text(self, font: Font, cid: int) -> tuple[str, bool]:
+        text = font.text(cid)
+        return (text, False) if text is not None else (f"(cid:{cid})" if self.undefined is None else self.undefined, True)
 
     def page(self, page: dict, rotation: int = 0) -> PageItems:
         box, _, ctm = page_box(self.doc, page, rotation)
@@ -351,8 +357,7 @@ class Interpreter:
             elif isinstance(part, bytes):
                 for cid in font.ids(part):
                     if cid not in known:
-                        text = font.text(cid)
-                        known[cid] = (f"(cid:{cid})" if text is None else text, text is None, font.width(cid) * size * scaling)
+                        known[cid] = (*self._text(font, cid), font.width(cid) * size * scaling)
                     text, undefined, adv = known[cid]
                     if drawn:
                         x += gap
@@ -364,7 +369,7 @@ class Interpreter:
         return x
 
     def _glyph(self, s: State, font: Font, cid: int, m: Matrix, scaling: float) -> float:
-        text = font.text(cid)
+        text, undefined = self._text(font, cid)
         size = s.size
         adv = font.width(cid) * size * scaling
         if font.vertical:
@@ -378,7 +383,7 @@ class Interpreter:
             x0, y0, x1, y1 = box[0] * m[0] + m[4], box[1] * m[3] + m[5], box[2] * m[0] + m[4], box[3] * m[3] + m[5]
         else:
             x0, y0, x1, y1 = hull(m, *box)
-        self._add("glyph", cid=cid, text=f"(cid:{cid})" if text is None else text, x0=x0, y0=y0, x1=x1, y1=y1, matrix=tuple(map(float, m)), font=font.name, fontsize=float(size), size=x1 - x0 if font.vertical else y1 - y0, adv=adv, upright=m[0] * m[3] * scaling > 0 and m[1] * m[2] <= 0, vertical=font.vertical, undefined=text is None, ncs=s.spaces[1][0], scolor=s.colors[0], ncolor=s.colors[1])
+        self._add("glyph", cid=cid, text=text, x0=x0, y0=y0, x1=x1, y1=y1, matrix=tuple(map(float, m)), font=font.name, fontsize=float(size), size=x1 - x0 if font.vertical else y1 - y0, adv=adv, upright=m[0] * m[3] * scaling > 0 and m[1] * m[2] <= 0, vertical=font.vertical, undefined=undefined, ncs=s.spaces[1][0], scolor=s.colors[0], ncolor=s.colors[1])
         return adv
 
     def _figure(self, name: str, box: tuple, m: Matrix) -> None:

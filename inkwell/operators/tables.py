@@ -35,6 +35,13 @@ def most_popular(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), value)).alias(value))
 
 
+def pick(df: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:
+    """Of each key's rows the one with the highest score, the first by ``order`` among equals: an aggregate with partial results."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(score), -F.col(order))).alias("_"))
+    return best.select(*keys, *(f"_.{c}" for c in rest))
+
+
 def last_setting(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """The last non-null value at or before each row."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

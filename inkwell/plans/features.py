@@ -277,6 +277,19 @@ def pdf_glyph_names(spark: SparkSession, d: str) -> DataFrame:
     return _key(parse_files(_suppliers(spark, d, _named), "text", Options(layout=False)), "text")
 
 
+def _unknown(k: int, name: str) -> bytes:
+    font = b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding << /Differences [1 /nosuchglyph] >> >>"
+    return one_page(b"BT /F1 10 Tf 36 700 Td <%s01> Tj ET" % name.encode().hex().encode(), font).file()
+
+
+@query(_SUPPLIER + "s_name || mark || chr(12) AS text FROM supplier CROSS JOIN (VALUES ('(cid:1)'), ('?')) AS v(mark)")
+def pdf_undefined_glyphs(spark: SparkSession, d: str) -> DataFrame:
+    """Glyphs without a character give their id, or what the option names."""
+    files = _suppliers(spark, d, _unknown)
+    both = [_key(parse_files(files, "text", Options(layout=False, undefined=u)), "text") for u in (None, "?")]
+    return both[0].unionByName(both[1])
+
+
 def _composite(k: int, name: str, vertical: bool = False) -> bytes:
     book = Book()
     pairs = b" ".join(b"<%04X> <%s>" % (256 + ord(c), c.encode("utf-16-be").hex().encode()) for c in dict.fromkeys(name))

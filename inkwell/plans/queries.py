@@ -300,6 +300,25 @@ def path_classify(spark: SparkSession, d: str) -> DataFrame:
     return R.classify_edges(t, "corners", kind == 5, kind.isin(1, 2, 4, 5)).groupBy("kind", c("n").alias("line_number")).agg(F.count(F.lit(1)).alias("paths"))
 
 
+@query(
+    _INTS
+    + """, b AS (SELECT *, q + n - q - n AS z, greatest(q + n, s + 4) - least(q, s) - n - 4 AS w, greatest(10, 5 + n) - least(0, 5) - 10 - n AS h FROM t)
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN w < 0 AND h < 0 THEN q + q + n - s - s - 4 ELSE 2 * greatest(w, 0) END AS BIGINT) AS dx2, CAST(CASE WHEN w < 0 AND h < 0 THEN 10 - 10 - n ELSE 2 * greatest(h, 0) END AS BIGINT) AS dy2 FROM b"""
+)
+def box_vector(spark: SparkSession, d: str) -> DataFrame:
+    """What lies between two boxes, or between their middles, in halves."""
+    t = _ints(spark, d).withColumns({"a1": F.col("q") + F.col("n"), "b1": F.col("s") + 4, "lo": F.lit(0), "hi": F.lit(10), "low": F.lit(5), "high": F.col("n") + 5})
+    x, y = G.between(G.Box("q", "lo", "a1", "hi"), G.Box("s", "low", "b1", "high"))
+    return t.select("l_orderkey", "l_linenumber", (x * 2).cast("long").alias("dx2"), (y * 2).cast("long").alias("dy2"))
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CAST(trunc(l_quantity) AS BIGINT) AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY trunc(l_quantity) DESC, l_linenumber) = 1")
+def pick_best(spark: SparkSession, d: str) -> DataFrame:
+    """The row with the highest score of each key, the first of equals."""
+    t = _table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").cast("long").alias("score"))
+    return R.pick(t, ["l_orderkey"], "score", "line")
+
+
 @query(
     """WITH e AS (SELECT user_id, event_id, CASE WHEN event_type = 'click' THEN CAST(round(value * 100) AS BIGINT) END AS color FROM events)
 SELECT user_id, event_id, coalesce(last_value(color IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), -1) AS color FROM e"""

@@ -77,6 +77,7 @@ class Options:
     compat: bool = False
     page_block: int = 0
     image_names: bool = False
+    undefined: str | None = None
 
     @property
     def params(self) -> Params | None:
@@ -91,7 +92,7 @@ class Options:
             f = known.get(k.lower())
             if f is None:
                 raise ValueError(f"unknown option {k}")
-            if isinstance(v, str) and f.name != "password":
+            if isinstance(v, str) and f.name not in ("password", "undefined"):
                 if f.name == "page_numbers":
                     v = tuple(int(x) for x in v.split(",") if x.strip())
                 elif f.name == "boxes_flow":
@@ -149,7 +150,7 @@ class _Rows:
                 yield i, *pages[i]
 
     def _items(self):
-        interpreter = Interpreter(self.doc)
+        interpreter = Interpreter(self.doc, self.o.undefined)
         for i, _, page in self._pages():
             yield i, page, interpreter.page(page, self.o.rotation)
 

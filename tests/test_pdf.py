@@ -205,6 +205,18 @@ def test_width_runs_and_unicode_maps():
     assert unicode_map(data) == {1: "A", 2: "BC", 3: "a", 4: "b", 5: "c", 6: "1", 7: "2"}
 
 
+def test_maps_that_use_others(tmp_path, monkeypatch):
+    import json
+
+    from inkwell.functions import fonts
+
+    monkeypatch.setenv("CMAP_PATH", str(tmp_path))
+    (tmp_path / "Base-H.json").write_text(json.dumps({"CODE2CID": {"1": {"2": 7, "3": 8}}}))
+    (tmp_path / "Over-V.json").write_text(json.dumps({"USECMAP": "Base-H", "IS_VERTICAL": True, "CODE2CID": {"1": {"3": 9}, "4": 1}}))
+    assert fonts.code_map(fonts.cmap_resource("Over-V")) == {b"\1\2": 7, b"\1\3": 9, b"\4": 1}
+    assert fonts.Font(widths={65: 500}, default_width=250).string_width(b"AB") == 0.75
+
+
 def test_cid_font():
     cmap = stream(b"beginbfchar <0041> <0058> endbfchar")
     font = b"<< /Type /Font /Subtype /Type0 /BaseFont /F /Encoding /Identity-H /DescendantFonts [7 0 R] /ToUnicode 8 0 R >>"
