@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import codec, default_ranks
-from .common import drop_dir, load, maybe_rows, sole_memo, work_dir
+from .common import drop_dir, load, maybe_rows, saved, sole_memo, work_dir
 from .packing import byte_ids, default_tokenizer
 
 COUNTED = "doc_id long, op string, seq long, source string, lang string, n_chars long, tokenizer string, tokens long"
@@ -109,13 +109,14 @@ class TokenRollup:
             return False
         if done and batch < done[-1]:
             raise ValueError(f"batch {batch} comes after batch {done[-1]} was committed")
-        counted = count_tokens(changes)
+        counted = saved(count_tokens(changes), self._path("counted", batch))  # read more than once, counted once
         known, nameless = counted.filter("doc_id IS NOT NULL"), counted.filter("doc_id IS NULL AND op = 'insert'")
         last = F.max_by(F.struct("op", "source", "lang", "n_chars", "tokens"), F.struct("seq", "op", "tokens")).alias("new")
         new = known.groupBy("doc_id", "tokenizer").agg(last).select("doc_id", "tokenizer", "new.*").unionByName(nameless.drop("seq"))
         alive = F.col("op") != "delete"
         new.select("doc_id", "tokenizer", "source", "lang", "n_chars", "tokens", alive.alias("alive"), F.lit(batch).alias("batch")).write.mode("overwrite").parquet(self._path("state", batch))
         new = self.spark.read.schema(STATE).parquet(self._path("state", batch))
+        drop_dir(self.spark, self._path("counted", batch))
         plus = new.filter("alive").select(*KEY, F.lit(1).alias("docs"), "tokens", F.col("n_chars").alias("chars"))
         minus = self._latest(new.filter("doc_id IS NOT NULL")).select(*KEY, F.lit(-1).alias("docs"), (-F.col("tokens")).alias("tokens"), (-F.col("n_chars")).alias("chars"))
         signed = plus.unionByName(minus).groupBy(*KEY).agg(*(F.sum(c).cast("long").alias(c) for c in ("docs", "tokens", "chars")))
