@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import geometry as G
+from inkwell.sources.shared import shared_dir
 
 
 def split_by(df: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
@@ -53,8 +52,7 @@ def _to_the_end(step: DataFrame, merged: dict[str, Column]) -> DataFrame:
     takes ``merged`` from both (theirs are called ``far_``...), and is written to the shared folder, so a path of n links takes about log2(n) rounds. Rows that lead nowhere or into a cycle have no end and are left out.
     """
     spark = step.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkwell-")
-    base = f"{shared.rstrip('/')}/chains-{uuid.uuid4().hex}"
+    base = shared_dir(spark, "chains")
 
     def written(df: DataFrame, k: int) -> DataFrame:
         df.write.parquet(f"{base}/{k}")

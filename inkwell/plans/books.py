@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.functions import crypto
 from inkwell.plans.synth import stream, write_pdf
+from inkwell.sources.shared import shared_dir
 
 COURIER = b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"
 HELVETICA = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"
@@ -77,8 +76,7 @@ def stored(files: DataFrame) -> str:
     """Put the files of a small, fixed table into a new shared folder, as a store would hold them; gives the folder. They pass through the driver: no use for tables that grow."""
     spark = files.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='inkwell-')}"
-    folder = f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+    folder = shared_dir(spark, "files")
     for row in files.collect():
         path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['path']}.pdf")
         out = path.getFileSystem(conf).create(path)
