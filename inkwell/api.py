@@ -7,13 +7,20 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+import zlib
+from collections.abc import Iterator
 from typing import Any
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators import sinks
 from inkwell.sources.pdf import read_pdf
+from inkwell.sources.shared import shared_dir
 
 #: Output types by name and by file extension.
 OUTPUTS = {"text": "text", "xml": "xml", "html": "html", "hocr": "hocr", "tag": "tagged"}
@@ -58,6 +65,36 @@ def write(spark: SparkSession, path: str, target: str, output_type: str = "text"
     documents(spark, path, output_type, **options).write.mode("overwrite").parquet(target)
 
 
+def write_images(spark: SparkSession, path: str, folder: str, **options: Any) -> DataFrame:
+    """Put the images of all files into a folder on a path that all executors can open: one folder for each document, named by its file and a checksum of its
+    path, with the images' names in it (signs other than letters, digits and ``_.-~`` as ``%xx``). Gives (doc_id, name, file, size) of what was written. An image is
+    written aside and renamed, so a task that runs twice leaves whole files.
+    """
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError(f"images go to a folder that executors can open, not to {folder}")
+    folder = folder.removeprefix("file://")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files, sizes = [], []
+            for doc_id, name, extension, data in zip(*(b[c].to_pylist() for c in ("doc_id", "name", "extension", "data")), strict=True):
+                stem = quote(os.path.basename(doc_id).removesuffix(".pdf"), safe="")
+                own = os.path.join(folder, f"{stem}-{zlib.crc32(doc_id.encode()):08x}")
+                os.makedirs(own, exist_ok=True)
+                files.append(os.path.join(own, quote(name, safe="") + extension))
+                aside = os.path.join(own, f".{uuid.uuid4().hex}")
+                with open(aside, "wb") as f:
+                    f.write(data)
+                os.replace(aside, files[-1])
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["name"], pa.array(files, pa.string()), pa.array(sizes, pa.int64())], names=["doc_id", "name", "file", "size"])
+
+    images = read_pdf(spark, path, "images", **options).filter("error IS NULL").select("doc_id", "name", "extension", "data")
+    written = shared_dir(spark, "images")
+    images.mapInArrow(put, "doc_id string, name string, file string, size long").write.parquet(written)  # once, however often the result is read
+    return spark.read.parquet(written)
+
+
 def toc(spark: SparkSession, path: str, **options: Any) -> DataFrame:
     return read_pdf(spark, path, "outlines", **options).select("doc_id", "seq", "level", "title", "page_no")
 
@@ -65,11 +102,11 @@ def toc(spark: SparkSession, path: str, **options: Any) -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     """Command line: files to standard output or to a folder."""
     import argparse
-    import os
 
     p = argparse.ArgumentParser(prog="inkwell", description="Text and structure of PDF files")
     p.add_argument("path")
     p.add_argument("-o", "--outfile", help="a folder; standard output without it")
+    p.add_argument("-O", "--output-dir", help="a folder for the images")
     p.add_argument("-t", "--output_type", choices=[*OUTPUTS, "objects", "outlines", "trailers"], default=None)
     p.add_argument("-p", "--page-numbers", type=int, nargs="*", default=[], help="from 1")
     p.add_argument("-m", "--maxpages", type=int, default=0)
@@ -91,6 +128,9 @@ def main(argv: list[str] | None = None) -> None:
     options = {k: getattr(a, k) for k in ("maxpages", "password", "rotation", "detect_vertical", "all_texts", "strip_control", "line_overlap", "char_margin", "word_margin", "line_margin", "boxes_flow", "scale", "layoutmode")}
     options |= {"page_numbers": tuple(n - 1 for n in a.page_numbers), "layout": not a.no_laparams}
     spark = SparkSession.builder.getOrCreate()
+    if a.output_dir:
+        options["image_names"] = kind in ("xml", "html")
+        write_images(spark, a.path, a.output_dir, **options)
     df = read_pdf(spark, a.path, kind, **options) if kind in ("objects", "outlines", "trailers") else documents(spark, a.path, kind, **options)
     if a.outfile:
         df.write.mode("overwrite").parquet(a.outfile)

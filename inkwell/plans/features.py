@@ -10,7 +10,8 @@ from inkwell.plans import codecs
 from inkwell.plans.books import COURIER, HELVETICA, Book, compact_file, locked, made, one_page, stored, updated
 from inkwell.plans.queries import query
 from inkwell.plans.synth import stream
-from inkwell.sources.pdf import Options, PdfSource, parse_files
+from inkwell.sources.pdf import Options, PdfSource, parse_files, register_functions
+from inkwell.sources.shared import shared_dir
 
 NAME, KEY = ["s_suppkey", "s_name"], ["s_suppkey", "s_nationkey"]
 
@@ -544,6 +545,30 @@ def api_documents(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(_NATION + "name, CAST(size + by_n * n_nationkey AS BIGINT) AS size, head FROM nation CROSS JOIN (VALUES ('I.bmp', 70, 0, '424D'), ('I.0.bmp', 70, 0, '424D'), ('J.jpg', 6, 1, 'FFD8'), ('a%2Fb.jp2', 5, 0, '6A70')) AS v(name, size, by_n, head)")
+def api_write_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images as files in a folder, read back; a picture that is drawn twice is there twice, and no name leaves its folder."""
+
+    def make(k: int) -> bytes:
+        image = b"/Type /XObject /Subtype /Image /Width 2 /Height 2 /BitsPerComponent 8 /ColorSpace /DeviceRGB"
+        named = {"I": stream(bytes(range(12)), image), "J": stream(b"\xff\xd8jpeg" + bytes(k), image + b" /Filter /DCTDecode", compress=False), "a#2Fb": stream(b"jp2..", image + b" /Filter /JPXDecode", compress=False)}
+        return one_page(b"/I Do /J Do /I Do /a#2Fb Do", XObject=named).file()
+
+    folder = shared_dir(spark, "pictures").removeprefix("file://").removeprefix("file:")
+    written = api.write_images(spark, stored(made(spark, d, "nation", ["n_nationkey"], make)), folder)
+    files = spark.read.format("binaryFile").load(f"file://{folder}/*/*").select(F.regexp_replace("path", "^file:/*", "/").alias("file"), F.hex(F.substring("content", 1, 2)).alias("head"), F.length("content").cast("long").alias("size"))
+    return _nation(written.drop("size", "name").join(files, "file"), F.element_at(F.split("file", "/"), -1).alias("name"), "size", "head")
+
+
+@query(_SUPPLIER + "s_name || chr(12) AS text, CAST(612 AS BIGINT) AS width FROM supplier")
+def pdf_table_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The tables as table functions of SQL, with options and without."""
+    register_functions(spark)
+    files = _suppliers(spark, d, lambda k, name: one_page(_shown(name)).file())
+    sql = "SELECT f.path AS doc_id, t.text, p.width FROM {files} f, LATERAL pdf_text(f.path, f.content, map('layout', 'false')) t, LATERAL pdf_pages(f.path, f.content) p"
+    return _key(spark.sql(sql, files=files), "text", _long("width"))
+
+
 @query(_NATION + "page_no, 612.0::DOUBLE AS width FROM nation CROSS JOIN (VALUES (0), (1)) AS v(page_no)")
 def pdf_data_source(spark: SparkSession, d: str) -> DataFrame:
     """The same tables as a registered source."""

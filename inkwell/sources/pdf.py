@@ -205,12 +205,15 @@ class _Rows:
 
     def _image_names(self):
         """Gives an image a name that no other image of the file has."""
-        names: dict[str, int] = {}
+        used: dict[str, int] = {}  # names, with the number that the next image of the name gets
 
         def name(r: dict) -> str:
-            n = names.get(r["name"], 0)
-            names[r["name"]] = n + 1
-            return f"{r['name']}.{n - 1}" if n else r["name"]
+            given = r["name"]
+            while given in used:
+                n = used[r["name"]]
+                used[r["name"]], given = n + 1, f"{r['name']}.{n}"
+            used[given] = 0
+            return given
 
         return name
 
@@ -331,6 +334,8 @@ def label_text(style: str | None, prefix: str, first: int, step: int) -> str:
     return prefix + (body.upper() if style in ("R", "A") else body)
 
 
+#: Tables whose rows may be as large as a page or an image, and bytes of them that leave a task together, about.
+WIDE, BATCH_BYTES = ("objects", "pages", "images", "attachments", "text", "xml", "html", "hocr", "tagged"), 8 << 20
 #: Tables whose rows are of single pages, which blocks of pages can share out.
 BY_PAGE = ("pages", "glyphs", "paths", "figures", "tags", "text_lines", "text_boxes", "text_groups", "text")
 
@@ -353,6 +358,7 @@ def parse_files(files: DataFrame, table: str, options: Options = Options(), id_c
     arrow = to_arrow_schema(schema)
     files = files.select(files[id_col].cast("string").alias("doc_id"), files[content].alias("content"))
     blocks = options.page_block > 0 and table in BY_PAGE
+    wide, limit = table in WIDE, BATCH_BYTES
     if blocks:
         shares = max(files.sparkSession.sparkContext.defaultParallelism, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         files = files.mapInArrow(_blocks(options, shares), "doc_id string, content binary, starts array<int>").repartition(shares, "doc_id", F.col("starts")[0])
@@ -362,12 +368,13 @@ def parse_files(files: DataFrame, table: str, options: Options = Options(), id_c
             starts = b["starts"].to_pylist() if blocks else [[None]] * len(b)
             for doc_id, data, some in zip(b["doc_id"].to_pylist(), b["content"], starts, strict=True):
                 rows: list[tuple] = []
-                raw = data.as_py() or b""
+                raw, held = data.as_py() or b"", 0
                 for row in (row for start in some for row in rows_of(doc_id, raw, table, options, start)):
                     rows.append(row)
-                    if len(rows) == 5000:
+                    held += sum(len(x) for x in row if isinstance(x, (bytes, str))) if wide else 0
+                    if len(rows) == 5000 or held > limit:
                         yield _batch(rows, arrow)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield _batch(rows, arrow)
 
@@ -401,6 +408,20 @@ def read_pdf(spark: SparkSession, path: str | list[str], table: str = "text", **
     return parse_files(spark.read.format("binaryFile").load(path), table, Options.parse(options))
 
 
+def register_functions(spark: SparkSession) -> None:
+    """Table functions for SQL, one for each table: ``SELECT t.* FROM files, LATERAL pdf_text(path, content, map('layout', 'false')) t``. The last argument, options by name, may be left out."""
+    for table in TABLES:
+        spark.udtf.register(f"pdf_{table}", _table_function(table))
+
+
+def _table_function(table: str):
+    class Parsed:
+        def eval(self, doc_id, content, options=None):
+            yield from rows_of(doc_id, bytes(content or b""), table, Options.parse(options or {}))
+
+    return F.udtf(Parsed, returnType=schema_of(table))
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path

@@ -8,7 +8,9 @@ from inkwell.functions import casts
 from inkwell.functions import geometry as G
 from inkwell.operators import cmap_tables
 from inkwell.operators.dump import document_xml, object_xml, outline_xml
-from inkwell.plans.synth import typeset
+from inkwell.plans.books import one_page
+from inkwell.plans.synth import stream, typeset
+from inkwell.sources import pdf
 from inkwell.sources.document import Document
 from inkwell.sources.pdf import TABLES, Options, rows_of
 
@@ -37,6 +39,32 @@ def test_writing_and_command_line(spark, folder, tmp_path, capsys):
     assert capsys.readouterr().out.startswith("line 60\n")
 
 
+def test_images_in_a_folder(spark, tmp_path):
+    """Names stay apart whatever they are; files of one name in two folders too; a second run gives the same files; what has no images gives none."""
+    image = b"/Type /XObject /Subtype /Image /Width 1 /Height 1 /BitsPerComponent 8 /Filter /DCTDecode"
+    named = {n: stream(n.encode(), image, compress=False) for n in ("I", "I.0", "..", "a#2F..#2Fb")}
+    data = one_page(b"/I Do /I.0 Do /I Do /.. Do /a#2F..#2Fb Do", XObject=named).file()
+    for sub in ("x", "y"):
+        (tmp_path / "in" / sub).mkdir(parents=True)
+        (tmp_path / "in" / sub / "a b.pdf").write_bytes(data)
+    (tmp_path / "in" / "x" / "none.pdf").write_bytes(typeset("text"))
+    target, paths = tmp_path / "out", [str(tmp_path / "in" / sub) for sub in ("x", "y")]
+    for _ in range(2):
+        rows = api.write_images(spark, paths, str(target)).collect()
+        files = sorted(p for p in target.rglob("*") if p.is_file())
+        assert sorted(r["file"] for r in rows) == sorted(map(str, files)) and len(files) == 10 and len(list(target.iterdir())) == 2
+    one = sorted(target.iterdir())[0]
+    assert {p.name: p.read_bytes() for p in one.iterdir()} == {"I.jpg": b"I", "I.0.jpg": b"I.0", "I.1.jpg": b"I", "...jpg": b"..", "a%2F..%2Fb.jpg": b"a#2F..#2Fb"}
+    with pytest.raises(ValueError):
+        api.write_images(spark, paths, "store://x/y")
+
+
+def test_large_rows_leave_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(pdf, "BATCH_BYTES", 10)
+    files = spark.createDataFrame([("a", bytearray(typeset("\n".join(f"line {i}" for i in range(200)))))], "path string, content binary")
+    assert pdf.parse_files(files, "text").count() == 4
+
+
 def test_dump():
     doc = Document(typeset("x"))
     xml = document_xml(doc, True)
