@@ -28,8 +28,8 @@ from .common import MAYBE, bitmap_bits, drop_dir, load, maybe_in, maybe_rows, sa
 from .exact_dedup import PLACE as _PLACE
 from .exact_dedup import located
 
-#: Lines that a boundary depends on; one line in so many is none.
-WINDOW, SPREAD = 2, 3
+#: Lines that a boundary depends on; one line in so many is none. A prime: with a power of two no line that repeats the one before it would be a boundary.
+WINDOW, SPREAD = 2, 11
 #: Lines of a chunk, at least.
 LEAST_LINES = 2
 
@@ -123,7 +123,7 @@ WITH l AS (
   SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
 ), h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h, max(i) OVER (PARTITION BY doc_id) AS n FROM l),
-r AS (SELECT doc_id, i, i = n OR (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 <> 0 AS bounds FROM h),
+r AS (SELECT doc_id, i, i = n OR (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 11 <> 0 AS bounds FROM h),
 b AS (SELECT doc_id, i FROM r WHERE bounds UNION ALL SELECT DISTINCT doc_id, 0 FROM r),
 e AS (SELECT doc_id, i AS before, lead(i, 1) OVER w AS e1, lead(i, 2) OVER w AS e2 FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT doc_id, before + 1 AS first, CASE WHEN e1 - before >= 2 THEN e1 ELSE e2 END AS last FROM e),

@@ -134,7 +134,7 @@ def brute_lines(data):
     for i, t in sorted(data, key=lambda x: key(x[0])):
         ls = some(t).split("\n")
         h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in ls]
-        ends = [-1, *(k for k in range(len(ls)) if (h[k] + (31 * h[k - 1] if k else 0)) % 3 != 0 or k == len(ls) - 1)]
+        ends = [-1, *(k for k in range(len(ls)) if (h[k] + (31 * h[k - 1] if k else 0)) % 11 != 0 or k == len(ls) - 1)]
         gone = set()
         for before in ends:
             last = next((e for e in ends if e - before >= 2), None)
