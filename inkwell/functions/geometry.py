@@ -27,6 +27,12 @@ class Box:
     empty = property(lambda self: (self.width <= 0) | (self.height <= 0))
 
 
+def rounded(x: Column) -> Column:
+    """The nearest whole number, halves away from zero, as ``round`` gives it; without decimal numbers on the way, which cost more than reading a glyph."""
+    low, high = F.floor(x), F.ceil(x)
+    return F.when(x < 0, high - F.when(high - x >= 0.5, 1).otherwise(0)).otherwise(low + F.when(x - low >= 0.5, 1).otherwise(0))
+
+
 def overlaps_h(a: Box, b: Box) -> Column:
     return (b.x0 <= a.x1) & (a.x0 <= b.x1)
 

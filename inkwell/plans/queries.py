@@ -105,8 +105,8 @@ FROM lines WHERE line <> '' GROUP BY doc_id, page_no"""
 )
 def pdf_glyph_positions(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of all glyphs, in thousandths of a point, by page."""
-    g = parse_files(_files(spark, d), "glyphs")
-    return g.filter("page_no IS NOT NULL").groupBy("doc_id", _long("page_no")).agg(F.count(F.lit(1)).alias("glyphs"), F.sum(F.round(F.col("x0") * 1000).cast("long")).alias("x_sum"), F.sum(F.round(F.col("y0") * 1000).cast("long")).alias("y_sum"))
+    g = parse_files(_files(spark, d), "glyphs", columns=("page_no", "x0", "y0"))
+    return g.filter("page_no IS NOT NULL").groupBy("doc_id", _long("page_no")).agg(F.count(F.lit(1)).alias("glyphs"), F.sum(G.rounded(F.col("x0") * 1000)).alias("x_sum"), F.sum(G.rounded(F.col("y0") * 1000)).alias("y_sum"))
 
 
 @query(

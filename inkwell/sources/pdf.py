@@ -21,8 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from inkwell.functions.syntax import Stream
-from inkwell.operators import sinks
-from inkwell.operators.interpret import Interpreter, page_box
+from inkwell.operators import runs, sinks
+from inkwell.operators.interpret import Interpreter, drawn_text, page_box
 from inkwell.operators.layout import Params, containers, layout, page_text
 from inkwell.sources.document import Document, tagged, text_string
 
@@ -107,9 +107,13 @@ def ddl_of(table: str) -> str:
     return f"doc_id string, {TABLES[table]}, error string"
 
 
-def width_of(table: str) -> int:
+def columns_of(table: str) -> list[str]:
     """Columns between doc_id and error."""
-    return len(re.sub(r"<[^ ]*>", "", TABLES[table]).split(","))
+    return [c.split()[0] for c in re.sub(r"<[^ ]*>", "", TABLES[table]).split(",")]
+
+
+def width_of(table: str) -> int:
+    return len(columns_of(table))
 
 
 def schema_of(table: str) -> T.StructType:
@@ -149,8 +153,8 @@ class _Rows:
             if self.block is None or i in self.block:
                 yield i, *pages[i]
 
-    def _items(self):
-        interpreter = Interpreter(self.doc, self.o.undefined)
+    def _items(self, packed: bool = False):
+        interpreter = Interpreter(self.doc, self.o.undefined, packed)
         for i, _, page in self._pages():
             yield i, page, interpreter.page(page, self.o.rotation)
 
@@ -193,7 +197,20 @@ class _Rows:
 
     def glyphs(self):
         for i, r in self._drawn("glyph"):
-            yield i, r["seq"], list(r["figure"]), r["cid"], r["text"], r["x0"], r["y0"], r["x1"], r["y1"], list(r["matrix"]), r["font"], r["fontsize"], r["size"], r["adv"], r["upright"], r["vertical"], r["ncs"], _color(r["ncolor"]), _color(r["scolor"])
+            yield self._glyph(i, r)
+
+    def packed_glyphs(self):
+        """(page, row of glyphs() or Run), for batches of columns."""
+        for i, _, items in self._items(packed=True):
+            for r in items.rows:
+                if isinstance(r, runs.Run):
+                    yield from ((i, part) for part in runs.parts(r, runs.BATCH_GLYPHS))
+                elif r["kind"] == "glyph":
+                    yield i, self._glyph(i, r)
+
+    @staticmethod
+    def _glyph(i: int, r: dict) -> tuple:
+        return i, r["seq"], list(r["figure"]), r["cid"], r["text"], r["x0"], r["y0"], r["x1"], r["y1"], list(r["matrix"]), r["font"], r["fontsize"], r["size"], r["adv"], r["upright"], r["vertical"], r["ncs"], _color(r["ncolor"]), _color(r["scolor"])
 
     def paths(self):
         for i, r in self._drawn("line", "rect", "curve"):
@@ -352,9 +369,55 @@ def rows_of(doc_id: str, data: bytes, table: str, o: Options, start: int | None
         yield doc_id, *[None] * width, f"{type(fault).__name__}: {fault}"
 
 
-def parse_files(files: DataFrame, table: str, options: Options = Options(), id_col: str = "path", content: str = "content") -> DataFrame:
-    """Parse a binary column: one row of files to many rows of a table. With ``page_block``, each task takes that many pages of a file, so that a huge file is shared out."""
-    schema = schema_of(table)
+class _Glyphs:
+    """Batches of the table of glyphs, from runs where glyphs stand in them, with the schema's columns. Short files share a batch."""
+
+    def __init__(self, o: Options, schema: pa.Schema):
+        self.o, self.schema = o, schema
+        names = ["doc_id", *columns_of("glyphs"), "error"]
+        self.places = [names.index(f.name) for f in schema]
+        self.held: list = []  # (doc_id, page, Run) or rows of the table
+        self.done: list[pa.RecordBatch] = []
+        self.count = 0
+
+    def add(self, doc_id: str, data: bytes, start: int | None) -> Iterator[pa.RecordBatch]:
+        try:
+            for i, found in _Rows(data, self.o, start).packed_glyphs():
+                yield from self._put((doc_id, i, found) if isinstance(found, runs.Run) else (doc_id, *found, None))
+        except Exception as fault:
+            if self.o.strict:
+                raise
+            yield from self._put((doc_id, *[None] * width_of("glyphs"), f"{type(fault).__name__}: {fault}"))
+
+    def _put(self, row: tuple) -> Iterator[pa.RecordBatch]:
+        packed = isinstance(row[-1], runs.Run)
+        if self.held and packed != isinstance(self.held[-1][-1], runs.Run):
+            self._close()
+        self.held.append(row)
+        self.count += len(row[-1].xs) if packed else 1
+        if self.count >= runs.BATCH_GLYPHS:
+            yield from self.rest()
+
+    def _close(self) -> None:
+        """Rows of one kind become columns."""
+        if self.held and isinstance(self.held[-1][-1], runs.Run):
+            self.done.append(runs.batch(self.held, self.schema, lambda font, cid: drawn_text(font, cid, self.o.undefined)[0], _color))
+        elif self.held:
+            columns = list(zip(*self.held, strict=True))
+            self.done.append(pa.RecordBatch.from_arrays([pa.array(columns[k], f.type) for k, f in zip(self.places, self.schema, strict=True)], schema=self.schema))
+        self.held = []
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        self._close()
+        if self.done:
+            yield from pa.Table.from_batches(self.done).combine_chunks().to_batches()
+        self.done, self.count = [], 0
+
+
+def parse_files(files: DataFrame, table: str, options: Options = Options(), id_col: str = "path", content: str = "content", columns: tuple[str, ...] = ()) -> DataFrame:
+    """Parse a binary column: one row of files to many rows of a table, with all of its columns or those asked for, and the error. With ``page_block``, each task takes that many pages of a file, so that a huge file is shared out."""
+    whole = schema_of(table)
+    schema = T.StructType([f for f in whole if not columns or f.name in ("doc_id", "error", *columns)])
     arrow = to_arrow_schema(schema)
     files = files.select(files[id_col].cast("string").alias("doc_id"), files[content].alias("content"))
     blocks = options.page_block > 0 and table in BY_PAGE
@@ -363,6 +426,19 @@ def parse_files(files: DataFrame, table: str, options: Options = Options(), id_c
         shares = max(files.sparkSession.sparkContext.defaultParallelism, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         files = files.mapInArrow(_blocks(options, shares), "doc_id string, content binary, starts array<int>").repartition(shares, "doc_id", F.col("starts")[0])
 
+    def glyphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Glyphs(options, arrow)
+        for b in batches:
+            starts = b["starts"].to_pylist() if blocks else [[None]] * len(b)
+            for doc_id, data, some in zip(b["doc_id"].to_pylist(), b["content"], starts, strict=True):
+                for start in some:
+                    yield from out.add(doc_id, data.as_py() or b"", start)
+        yield from out.rest()
+
+    if table == "glyphs":
+        return files.mapInArrow(glyphs, schema)
+    arrow = to_arrow_schema(whole)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             starts = b["starts"].to_pylist() if blocks else [[None]] * len(b)
@@ -378,7 +454,7 @@ def parse_files(files: DataFrame, table: str, options: Options = Options(), id_c
                 if rows:
                     yield _batch(rows, arrow)
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(run, whole).select(*schema.names)
 
 
 def _blocks(options: Options, shares: int):
