@@ -203,8 +203,11 @@ class _Rows:
         """(page, row of glyphs() or Run), for batches of columns."""
         for i, _, items in self._items(packed=True):
             for r in items.rows:
-                if isinstance(r, runs.Run):
-                    yield from ((i, part) for part in runs.parts(r, runs.BATCH_GLYPHS))
+                if type(r) is runs.Run:
+                    if r.count <= runs.BATCH_GLYPHS:
+                        yield i, r
+                    else:
+                        yield from ((i, part) for part in runs.parts(r, runs.BATCH_GLYPHS))
                 elif r["kind"] == "glyph":
                     yield i, self._glyph(i, r)
 
@@ -383,18 +386,18 @@ class _Glyphs:
     def add(self, doc_id: str, data: bytes, start: int | None) -> Iterator[pa.RecordBatch]:
         try:
             for i, found in _Rows(data, self.o, start).packed_glyphs():
-                yield from self._put((doc_id, i, found) if isinstance(found, runs.Run) else (doc_id, *found, None))
+                yield from self._put((doc_id, i, found) if type(found) is runs.Run else (doc_id, *found, None))
         except Exception as fault:
             if self.o.strict:
                 raise
             yield from self._put((doc_id, *[None] * width_of("glyphs"), f"{type(fault).__name__}: {fault}"))
 
     def _put(self, row: tuple) -> Iterator[pa.RecordBatch]:
-        packed = isinstance(row[-1], runs.Run)
-        if self.held and packed != isinstance(self.held[-1][-1], runs.Run):
+        packed = type(row[-1]) is runs.Run
+        if self.held and packed != (type(self.held[-1][-1]) is runs.Run):
             self._close()
         self.held.append(row)
-        self.count += len(row[-1].xs) if packed else 1
+        self.count += row[-1].count if packed else 1
         if self.count >= runs.BATCH_GLYPHS:
             yield from self.rest()
 
